@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import neighbours, packing, tokens
+from gavel.llm import duplicates, garbled, groups, neighbours, packing, tokens
 from gavel.sources.tables import load
 
 CAPACITY = 2_048
@@ -35,6 +35,74 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     ).distinct()
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages and turns that may be garbled: `field`, `record_id`, `text`."""
+    pages = load(spark, folder, "debates", "id", "raw_html").select(F.lit("debates.raw_html").alias("field"), F.col("id").alias("record_id"), F.col("raw_html").alias("text"))
+    turns = load(spark, folder, "turns", "id", "text").select(F.lit("turns.text").alias("field"), F.col("id").alias("record_id"), "text")
+    return pages.unionByName(turns)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages and turns that are garbled by a wrong decoding, wholly or in part."""
+    return garbled.find_garbled(_texts(spark, folder), ["field", "record_id"], "text").select("field", "record_id").distinct()
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled pages and turns with their original text, where it can be restored, and the wrong decodings undone."""
+    return garbled.find_garbled(_texts(spark, folder), ["field", "record_id"], "text")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of 25 or more words that repeat an earlier one but for formatting, with the earliest."""
+    same = duplicates.same_texts(load(spark, folder, "turns", "id", "text"), "id", "text")
+    return same.where("id <> first_id").select("first_id", F.col("id").alias("turn_id")).distinct()
+
+
+def p4_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """One record of each group of turns that are the same but for formatting, with its number of copies."""
+    same = duplicates.same_texts(load(spark, folder, "turns", "id", "text"), "id", "text")
+    return same.where("id = first_id").select("first_id", "copies").distinct()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags and subjects that merges, parents and equal keys link, with the smallest tag of their group."""
+    tags = load(spark, folder, "tags", "id", "merged_into")
+    subjects = load(spark, folder, "subjects", "id", "parent_tag_id", "subject_key")
+    tag, subject = (lambda c: F.concat(F.lit("tag "), F.col(c))), (lambda c: F.concat(F.lit("subject "), F.col(c)))
+    links = (
+        tags.where("merged_into is not null").select(tag("id").alias("a"), tag("merged_into").alias("b"))
+        .unionByName(subjects.where("parent_tag_id is not null").select(subject("id").alias("a"), tag("parent_tag_id").alias("b")))
+        .unionByName(subjects.where("subject_key is not null").select(subject("id").alias("a"), F.concat(F.lit("key "), F.col("subject_key")).alias("b")))
+    )
+    records = tags.select(F.lit("tag").alias("kind"), F.col("id").alias("record_id"), tag("id").alias("node")).unionByName(
+        subjects.select(F.lit("subject").alias("kind"), F.col("id").alias("record_id"), subject("id").alias("node"))
+    ).distinct()
+    members = records.join(groups.components(links, "a", "b"), "node")
+    of_group = members.groupBy("component").agg(
+        F.min(F.when(F.col("kind") == "tag", F.col("record_id"))).alias("group_tag_id"), F.count("*").alias("n")
+    ).where("n > 1 and group_tag_id is not null")
+    return members.join(of_group, "component").select("kind", "record_id", "group_tag_id").distinct()
+
+
+P6_FOUND = """
+WITH RECURSIVE nodes AS (
+  SELECT DISTINCT 'tag' AS kind, id AS record_id, 'tag ' || id AS node FROM tags
+  UNION SELECT DISTINCT 'subject', id, 'subject ' || id FROM subjects),
+links AS (
+  SELECT 'tag ' || id AS a, 'tag ' || merged_into AS b FROM tags WHERE merged_into IS NOT NULL
+  UNION SELECT 'subject ' || id, 'tag ' || parent_tag_id FROM subjects WHERE parent_tag_id IS NOT NULL
+  UNION SELECT 'subject ' || id, 'key ' || subject_key FROM subjects WHERE subject_key IS NOT NULL),
+both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, a FROM both UNION SELECT r.a, l.b FROM reach r JOIN both l ON l.a = r.b),
+label AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
+members AS (SELECT n.kind, n.record_id, l.component FROM nodes n JOIN label l USING (node)),
+of_group AS (
+  SELECT component, min(CASE WHEN kind = 'tag' THEN record_id END) AS group_tag_id FROM members
+  GROUP BY component HAVING count(*) > 1 AND min(CASE WHEN kind = 'tag' THEN record_id END) IS NOT NULL)
+SELECT DISTINCT kind, record_id, group_tag_id FROM members JOIN of_group USING (component)
+"""
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
@@ -54,6 +122,11 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p3_found": p3_found,
+        "p3_restored": p3_restored,
+        "p4_found": p4_found,
+        "p4_collapsed": p4_collapsed,
+        "p6_found": p6_found,
         "p8_ids": p8_ids,
         "p8_decoded": p8_decoded,
         "p9_containers": p9_containers,
@@ -62,5 +135,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": P6_FOUND,
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
