@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import duplicates, garbled, groups, neighbours, packing, tokens
+from gavel.llm import duplicates, garbled, groups, lookalikes, neighbours, packing, tokens
 from gavel.sources.tables import load
 
 CAPACITY = 2_048
@@ -103,6 +103,27 @@ SELECT DISTINCT kind, record_id, group_tag_id FROM members JOIN of_group USING (
 """
 
 
+def _looks(spark: SparkSession, folder: str) -> DataFrame:
+    turns = load(spark, folder, "turns", "id", "text", "speaker_label")
+    names = load(spark, folder, "entity_names", "id", "norm_name")
+    two = turns.select("id", F.inline(F.array(*(F.struct(F.lit(f"turns.{c}").alias("field"), F.col(c).alias("text")) for c in ("text", "speaker_label")))))
+    three = names.select("id", F.lit("entity_names.norm_name").alias("field"), F.col("norm_name").alias("text"))
+    return two.unionByName(three).select("field", F.col("id").alias("record_id"), "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns, labels and names that are written with look-alike characters; turns that are garbled aside."""
+    changed = lookalikes.normalised(_looks(spark, folder), ["field", "record_id"], "text").select("field", "record_id")
+    turns = load(spark, folder, "turns", "id", "text").select(F.lit("turns.text").alias("field"), F.col("id").alias("record_id"), "text")
+    broken = garbled.find_garbled(turns, ["field", "record_id"], "text").select("field", "record_id")
+    return changed.join(broken, ["field", "record_id"], "left_anti").distinct()
+
+
+def p7_normal(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn text, label and name in its one consistent form."""
+    return lookalikes.normalised(_looks(spark, folder), ["field", "record_id"], "text", changed_only=False)
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
@@ -127,6 +148,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_collapsed": p4_collapsed,
         "p6_found": p6_found,
+        "p7_found": p7_found,
+        "p7_normal": p7_normal,
         "p8_ids": p8_ids,
         "p8_decoded": p8_decoded,
         "p9_containers": p9_containers,
