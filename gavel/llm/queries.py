@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import duplicates, garbled, groups, lookalikes, neighbours, packing, tokens
+from gavel.llm import duplicates, garbled, groups, lookalikes, neighbours, packing, residue, tokens
 from gavel.sources.tables import load
 
 CAPACITY = 2_048
@@ -140,6 +140,16 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with template residue or filler text, or that are a message of the site."""
+    return residue.residue(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p10_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """The same documents with what was found in each."""
+    return residue.residue(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -153,6 +163,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": p8_ids,
         "p8_decoded": p8_decoded,
         "p9_containers": p9_containers,
+        "p10_found": p10_found,
+        "p10_reasons": p10_reasons,
     }
 
 
