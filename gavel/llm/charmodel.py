@@ -94,19 +94,23 @@ class Model:
             for low in map(ord, chr(x).lower()):
                 self.folded[low] = self.folded.get(low, 0) + n
         self.total = float(counts.one.sum()) + 1.0
+        self.table: np.ndarray | None = None
         self.two = counts.two.astype(np.float32)
         self.three = counts.three.astype(np.float32)
 
-    def score(self, text: str, start: int = 2) -> float:
-        """The log probability of `text` from position `start` on."""
-        p = points(text.lower())
-        if len(p) <= start:
-            return 0.0
-        one = np.array([self.folded.get(x, 0) for x in p.tolist()], np.float64)
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The log probability of each text from its third character on; every text has at least two."""
+        if not texts:
+            return np.zeros(0)
+        if self.table is None:
+            self.table = np.zeros(POINTS, np.float64)
+            self.table[list(self.folded)] = list(self.folded.values())
+        lower = [t.lower() for t in texts]
+        p = points("".join(lower))
+        ends = np.cumsum([len(t) for t in lower])
+        one = self.table[p]
         p1 = (one + 0.02) / (self.total + 0.02 * 5000)
         k2, k3 = self.WEIGHTS
-        if len(p) < 3:
-            return float(np.log(p1[start:]).sum())
         pair = self.two[_hash(p[:-1], p[1:], bits=PAIR_BITS)].astype(np.float64)
         triple = self.three[_hash(p[:-2], p[1:-1], p[2:], bits=TRIPLE_BITS)].astype(np.float64)
         # A hashed count may hold other pairs too; it can't exceed the counts of its parts.
@@ -114,7 +118,12 @@ class Model:
         triple = np.minimum(triple, np.minimum(pair[:-1], pair[1:]))
         p2 = (pair + k2 * p1[1:]) / (one[:-1] + k2)
         p3 = (triple + k3 * p2[1:]) / (pair[:-1] + k3)
-        return float(np.log(p3[max(0, start - 2) :]).sum())
+        sums = np.concatenate([[0.0, 0.0, 0.0], np.cumsum(np.log(p3))])
+        starts = np.concatenate([[0], ends[:-1]])
+        return sums[ends] - sums[np.minimum(starts + 2, ends)]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
 
 
 COUNT_FIELDS = [("n", pa.int32()), ("key", pa.int64()), ("count", pa.int64())]
