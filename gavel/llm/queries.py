@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import duplicates, garbled, groups, lookalikes, neighbours, packing, residue, tokens
+from gavel.llm import duplicates, garbled, groups, lookalikes, neighbours, packing, residue, speakers, tokens
 from gavel.sources.tables import load
 
 CAPACITY = 2_048
@@ -84,6 +84,22 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return members.join(of_group, "component").select("kind", "record_id", "group_tag_id").distinct()
 
 
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    turns = load(spark, folder, "turns", "id", "debate_id", "seq", "speaker_label", "text", "person_id", "role_kind")
+    rosters = load(spark, folder, "debates", "id", "mp_list_raw").withColumnRenamed("id", "debate_id")
+    return speakers.clean_turns(turns, rosters)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The first and last row of each clean turn of each debate."""
+    return _turns(spark, folder).select("debate_id", "seq_start", "seq_end")
+
+
+def p5_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean turns with their speakers and numbers of rows."""
+    return _turns(spark, folder)
+
+
 P6_FOUND = """
 WITH RECURSIVE nodes AS (
   SELECT DISTINCT 'tag' AS kind, id AS record_id, 'tag ' || id AS node FROM tags
@@ -157,6 +173,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_restored": p3_restored,
         "p4_found": p4_found,
         "p4_collapsed": p4_collapsed,
+        "p5_found": p5_found,
+        "p5_turns": p5_turns,
         "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_normal": p7_normal,
