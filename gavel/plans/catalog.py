@@ -1,19 +1,23 @@
-"""All named queries of the core, with their SQL."""
+"""All named queries of the core, with their SQL and the inventory rows they cover."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from gavel.plans import events_plans
-
-Query = Callable[[SparkSession, str], DataFrame]
+from gavel.plans import events_plans, relational_plans  # noqa: F401
+from gavel.plans.registry import ENTRIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": events_plans.p2_found}
+    return {name: e.run for name, e in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": events_plans.P2_FOUND}
+    return {name: e.sql for name, e in ENTRIES.items() if e.sql}
+
+
+def coverage() -> dict[str, list[str]]:
+    """The queries that cover each row of the inventory."""
+    out: dict[str, list[str]] = {}
+    for name, e in ENTRIES.items():
+        for row in e.covers:
+            out.setdefault(row, []).append(name)
+    return dict(sorted(out.items()))
