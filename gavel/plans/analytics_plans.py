@@ -122,7 +122,7 @@ def cluster_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("TAG09 SRC06 SRC07 SRC08 SRC16 DEC07", """
-WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 10 < 8), n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 10 > 1)
+WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '2000-06-01'), n AS (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-01-01')
 SELECT k, CASE WHEN o.v IS NULL THEN 'insert' WHEN n.v IS NULL THEN 'delete' WHEN o.v = n.v THEN 'same' ELSE 'update' END AS change FROM o FULL JOIN n USING (k)""")
 def load_plan(spark: SparkSession, folder: str) -> DataFrame:
     """What a new version of a table inserts, updates, deletes and leaves (two derived versions of the orders)."""
@@ -131,19 +131,19 @@ def load_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    t = load(spark, folder, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    return t.where("k % 10 < 8"), t.where("k % 10 > 1").withColumn("v", F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("v")))
+    t = load(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("price"))
+    return t.where("day < date'2000-06-01'").select("k", "v"), t.where("day >= date'1996-01-01'").select("k", F.when(F.col("price") > 400000, "X").otherwise(F.col("v")).alias("v"))
 
 
 @query("SRC06 SRC16", """
-SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 > 1 AND o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders""")
+SELECT o_orderkey AS k, CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1996-01-01' AND o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS v FROM orders""")
 def upsert_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """The old version with the new one's rows in place of those with equal keys."""
     o, n = _versions(spark, folder)
     return rel.upsert(o, n, ["k"])
 
 
-@query("SRC07 SRC08", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 >= 8 AND o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders")
+@query("SRC07 SRC08", "SELECT o_orderkey AS k, CASE WHEN CAST(o_orderdate AS DATE) >= DATE '2000-06-01' AND o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS v FROM orders")
 def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
     """The old version with only those rows of the new one whose keys it lacks."""
     o, n = _versions(spark, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gavel.plans import analytics_plans, events_plans, relational_plans, text_plans  # noqa: F401
+from gavel.plans import analytics_plans, events_plans, relational_plans, text_plans, vector_plans  # noqa: F401
 from gavel.plans.registry import ENTRIES, Query
 
 
