@@ -171,9 +171,9 @@ def dictionary_build(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("TXT45 DEC18")
 def dictionary_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """The eight best entity names in each document, scored by tf * ln(N / df), longest match first."""
-    names = load(spark, folder, "entity_names", "norm_name")
-    return search.dictionary_hits(load(spark, folder, "documents", "doc_id", "text"), "doc_id", F.col("text"), names, "norm_name")
+    """The eight best keywords in each document, scored by tf * ln(N / df), longest match first."""
+    names = load(spark, folder, "debates", "keywords").select(F.explode("keywords").alias("name")).distinct()
+    return search.dictionary_hits(load(spark, folder, "documents", "doc_id", "text"), "doc_id", F.col("text"), names, "name")
 
 
 @query("TXT33 TXT36 TXT31", """
