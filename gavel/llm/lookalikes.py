@@ -225,10 +225,10 @@ def normalised(df: DataFrame, keys: list[str], text_col: str, changed_only: bool
                 hit = pc.fill_null(pc.match_substring_regex(usual, pattern), False)
                 kept = batch if not changed_only else batch.filter(hit)
                 m = kept.num_rows
-                yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(n + 1)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(["text"] * m)], names)
+                yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in range(n + 1)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(["text"] * m, pa.string())], names)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(len(at), t) for t in types), pa.nulls(len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(["count"] * len(at))], names
+            [*(pa.nulls(len(at), t) for t in types), pa.nulls(len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(["count"] * len(at), pa.string())], names
         )
 
     parts = stage(

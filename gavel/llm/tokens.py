@@ -125,10 +125,10 @@ def _blocks(block_bytes: int, id_type: pa.DataType):
                 n, w = part.num_rows, len(words)
                 names = ["block", "id", "codes", "no", "word", "kind"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, pa.int64()), part.column(0), lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(["text"] * n)], names
+                    [pa.array([block] * n, pa.int64()), part.column(0), lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(["text"] * n, pa.string())], names
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * w, pa.int64()), pa.nulls(w, id_type), pa.nulls(w, pa.list_(pa.int32())), pa.array(np.arange(w, dtype=np.int32)), pa.array(words, pa.string()), pa.array(["word"] * w)], names
+                    [pa.array([block] * w, pa.int64()), pa.nulls(w, id_type), pa.nulls(w, pa.list_(pa.int32())), pa.array(np.arange(w, dtype=np.int32)), pa.array(words, pa.string()), pa.array(["word"] * w, pa.string())], names
                 )
                 block += 1
 
