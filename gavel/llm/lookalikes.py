@@ -124,7 +124,11 @@ class Rewriter:
     """Brings texts to one form; `frequency` counts the characters of the corpus."""
 
     def __init__(self, frequency: dict[str, int]):
-        letters = representatives([*LETTERS.items()], frequency)
+        # The scripts' members of all classes are counted together: one rare letter doesn't change its script.
+        totals: dict[str, int] = {}
+        for c in {*LETTERS, *LETTERS.values()}:
+            totals[_script(c)] = totals.get(_script(c), 0) + frequency.get(c, 0)
+        letters = representatives([*LETTERS.items()], {c: totals[_script(c)] for c in {*LETTERS, *LETTERS.values()}})
         plain = representatives([*styled().items()], frequency | {v: 1 << 60 for v in styled().values()})
         self.letters = {c: letters.get(c, c) for c in LETTERS if letters.get(c, c) != c}
         patterns: dict[str, str] = {c: p for c, p in plain.items() if c != p and c in styled()}
@@ -173,6 +177,12 @@ class Rewriter:
         return self.word.sub(self._word, text) if self.foreign and self.foreign.search(text) else text
 
 
+@cache
+def _script(c: str) -> str:
+    """The script of a letter, by its name; ties between scripts go to Latin."""
+    return unicodedata.name(c, "?").split()[0]
+
+
 @cache
 def _latin(c: str) -> bool:
     return c.isascii() or unicodedata.name(c, "").startswith("LATIN ")
