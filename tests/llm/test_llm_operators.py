@@ -160,7 +160,7 @@ def test_components_edge_cases(rows):
 
 
 def test_lookalikes(rows):
-    cases = {"I hаvе": "I have", "ｔｈｅ １２": "the 12", "𝐂𝐇": "CH", "staﬃng": "staffing", "café": "café", "la​kh": "lakh", "a b　c": "a b c", "Рlease": "Please", "lak‌h": "lakh"}
+    cases = {"I h\u0430v\u0435": "I have", "\uff54\uff48\uff45 \uff11\uff12": "the 12", "\U0001d402\U0001d407": "CH", "sta\ufb03ng": "staffing", "cafe\u0301": "caf\xe9", "la\u200bkh": "lakh", "a\xa0b\u3000c": "a b c", "\u0420lease": "Please", "lak\u200ch": "lakh"}
     same = ["क्‍षेत्र", "«Зерно и мельницы»", "«Πύλη υδάτων»", "½ km² “x” – … ’", "tab\tline\n", "", "🙂", "磨坊与谷仓", "ढ़"]
     data = [(n, t) for n, t in enumerate([*cases, *same])] + [(99, None), (98, "long " * 200_000)]
     df = rows("id int, text string, kind string", *((*x, "clash") for x in data), (0, next(iter(cases)), "twice"))
