@@ -109,3 +109,82 @@ def nearest(left: DataFrame, right: DataFrame, k: int, digits: int = 5) -> DataF
     best = l.groupBy("lb", "rb").cogroup(r.groupBy("lb", "rb")).applyInArrow(_blocks_nearest(k, digits), "a bigint, b bigint, dist double")
     w = Window.partitionBy("a").orderBy("dist", "b")
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def chain_order(ids: list[int], vectors: list[list[float]]) -> list[int]:
+    """Ids in a chain of nearest neighbours, from the one least like the mean; ties go to the lower id."""
+    order = np.argsort(ids, kind="stable")
+    names, x = np.asarray(ids)[order], np.asarray(vectors, np.float64)[order]
+    if len(names) < 3:
+        return names.tolist()
+    left, at = np.ones(len(names), bool), int(np.argmin(x @ x.mean(axis=0)))
+    out = []
+    while True:
+        out.append(int(names[at]))
+        left[at] = False
+        if not left.any():
+            return out
+        at = int(np.argmax(np.where(left, x @ x[at], -np.inf)))
+
+
+def chained(points: DataFrame, group: str) -> DataFrame:
+    """`group`, `id`, `place`: the points (`id`, `v`) of each group in a chain. For groups of a page's size."""
+
+    def run(part: pa.Table) -> pa.Table:
+        ids = chain_order(part["id"].to_pylist(), part["v"].to_pylist())
+        key = part[group][0]
+        return pa.table({group: pa.array([key.as_py()] * len(ids), part.schema.field(group).type), "id": pa.array(ids, pa.int64()), "place": pa.array(range(len(ids)), pa.int32())})
+
+    kind = points.schema[group].dataType.simpleString()
+    return points.select(group, F.col("id").cast("bigint").alias("id"), "v").groupBy(group).applyInArrow(run, f"{group} {kind}, id bigint, place int")
+
+
+def join_nearest_first(pairs: list[tuple[int, int, float]], sizes: dict[int, int], largest: int, apart: set[frozenset[int]] = frozenset()) -> dict[int, int]:
+    """Units joined nearest pair first, unless the group would grow beyond `largest` or hold a pair that must stay apart.
+
+    The order of the pairs decides, so this runs inside one component at a time (see `constrained`).
+    """
+    group, members = {u: u for u in sizes}, {u: {u} for u in sizes}
+    for a, b, _ in sorted(pairs, key=lambda p: (p[2], p[0], p[1])):
+        x, y = group[a], group[b]
+        if x == y or sum(sizes[u] for u in members[x] | members[y]) > largest or any(frozenset((u, v)) in apart for u in members[x] for v in members[y]):
+            continue
+        for u in members[y]:
+            group[u] = x
+        members[x] |= members.pop(y)
+    return {u: min(members[g]) for u, g in group.items()}
+
+
+def constrained(edges: DataFrame, sizes: DataFrame, largest: int, apart: DataFrame | None = None) -> DataFrame:
+    """`unit`, `component`: units joined along links (`a`, `b`, `dist`) under a limit of size, one component per call.
+
+    sizes: `unit`, `size`. apart: `a`, `b`, pairs that never share a group.
+    """
+    whole = components(edges).withColumnRenamed("node", "unit").withColumnRenamed("component", "_c")
+    units = sizes.join(whole, "unit", "left").withColumn("_c", F.coalesce("_c", "unit"))
+    at = whole.select(F.col("unit").alias("a"), "_c")
+    linked = edges.join(at, "a").select("_c", "a", "b", F.col("dist").cast("double").alias("dist"))
+    if apart is not None:
+        linked = linked.unionByName(apart.join(at, "a").select("_c", "a", "b", F.lit(None).cast("double").alias("dist")))
+
+    def run(u: pa.Table, e: pa.Table) -> pa.Table:
+        size = dict(zip(u["unit"].to_pylist(), u["size"].to_pylist(), strict=True))
+        rows = [r for r in e.to_pylist() if r["a"] in size and r["b"] in size]
+        out = join_nearest_first([(r["a"], r["b"], r["dist"]) for r in rows if r["dist"] is not None], size, largest, {frozenset((r["a"], r["b"])) for r in rows if r["dist"] is None})
+        return pa.table({"unit": pa.array(list(out), pa.int64()), "component": pa.array(list(out.values()), pa.int64())})
+
+    units = units.select("_c", F.col("unit").cast("bigint").alias("unit"), F.col("size").cast("bigint").alias("size"))
+    linked = linked.select("_c", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "dist")
+    return units.groupBy("_c").cogroup(linked.groupBy("_c")).applyInArrow(run, "unit bigint, component bigint")
+
+
+def first_fit(sizes: list[int], capacity: int) -> list[int]:
+    """The box of each item in the given order: the first with room, else a new one (also for items larger than a box)."""
+    room, out = [], []
+    for s in sizes:
+        k = next((k for k, r in enumerate(room) if r >= s), len(room))
+        if k == len(room):
+            room.append(capacity)
+        room[k] -= s
+        out.append(k)
+    return out

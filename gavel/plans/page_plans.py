@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gavel.functions import pages
+from gavel.functions import glyphs, pages
 from gavel.operators import arrow
 from gavel.operators import relational as rel
 from gavel.plans.registry import query
@@ -97,3 +97,19 @@ def refetched_debates(spark: SparkSession, folder: str) -> DataFrame:
     d = load(spark, folder, "debates", "id", "loksabha", "session", "dbslno", "fetched_at", "raw_html", "raw_html_sha256")
     d = d.withColumn("fits", F.sha2("raw_html", 256) == F.col("raw_html_sha256"))
     return d.groupBy("loksabha", "session", "dbslno").agg(F.min("id").alias("first_id"), F.count("*").alias("fetched"), F.max("fetched_at").alias("last_fetch"), F.max_by("fits", F.struct("fetched_at", "id")).alias("hash_fits"))
+
+
+@query("TXT29")
+def glyph_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns typed in the old Hindi font, read back; the others unchanged (as a digest)."""
+    out = arrow.each_text(load(spark, folder, "turns", "id", "text"), "id", "text", glyphs.read_glyphs, "decoded")
+    return out.select("id", F.md5("decoded").alias("decoded"))
+
+
+@query("SRC14 SRC15", "SELECT count(*) AS n, count(DISTINCT id) AS ids FROM tags")
+def canonical_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every tag as one canonical JSON text; how many there are, and how many differ."""
+    from gavel.sources.files import canonical_json
+
+    j = canonical_json(load(spark, folder, "tags"))
+    return j.agg(F.count("*").alias("n"), F.count_distinct("json").alias("ids"))

@@ -138,7 +138,7 @@ def quote_substring_check(spark: SparkSession, folder: str) -> DataFrame:
     return n.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("n")))
 
 
-@query("TXT18 TXT19", """
+@query("TXT18", """
 SELECT id, regexp_extract(text, 'in ((?:19|20)\\d\\d)-\\d\\d', 1) AS year FROM turns WHERE regexp_matches(text, 'Abhiyan.{0,40}in (?:19|20)\\d\\d-\\d\\d')""")
 def year_near_name(spark: SparkSession, folder: str) -> DataFrame:
     """Turns with a year shortly after a name."""

@@ -215,3 +215,27 @@ def pick_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The member of each group to keep: of most debates, the lowest id of equals."""
     g = load(spark, folder, "tags", "id", "merged_into", "debate_count").withColumn("group_id", F.coalesce("merged_into", "id"))
     return g.groupBy("group_id").agg(F.max_by("id", F.struct("debate_count", -F.col("id"))).alias("kept"), F.count("*").alias("members"), F.sum("debate_count").alias("debates")).where("members > 1")
+
+
+@query("GRA07")
+def chain_in_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The tags of each kept group of merged tags in a chain of nearest neighbours."""
+    t = load(spark, folder, "tags", "id", "merged_into").select(F.col("id").alias("tag_id"), F.coalesce("merged_into", "id").alias("g"))
+    return graph.chained(_tags(spark, folder).join(t, "tag_id").select("g", F.col("tag_id").alias("id"), "v"), "g")
+
+
+@query("GRA04 GRA08 GRA06")
+def constrained_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags joined along mutual links, nearest first, to groups of at most ten debates' worth that share no rejected tag."""
+    t = load(spark, folder, "tags", "id", "debate_count", "status")
+    sizes = t.select(F.col("id").alias("unit"), F.lit(1).alias("size"))
+    edges = knn_mutual_edges(spark, folder)
+    apart = edges.join(t.where("status = 'rejected'").select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
+    return graph.constrained(edges, sizes, 10, apart)
+
+
+@query("AGG21")
+def sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Approximate distinct counts and quantiles per term."""
+    t = load(spark, folder, "turns", "debate_id", "word_count", "person_id").join(load(spark, folder, "debates", "id", "loksabha").withColumnRenamed("id", "debate_id"), "debate_id")
+    return t.groupBy("loksabha").agg(F.approx_count_distinct("person_id", 0.02).alias("people"), F.percentile_approx("word_count", 0.5, 1000).alias("median_words"))

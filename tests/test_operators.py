@@ -4,7 +4,7 @@ import datetime
 import random
 
 import pytest
-from gavel.functions import pages
+from gavel.functions import glyphs, pages, spans
 from gavel.functions import text as tx
 from gavel.operators import aggregates as agg
 from gavel.operators import decisions as dec
@@ -180,3 +180,30 @@ def test_files(rows, spark, tmp_path):
     assert [r[0] for r in rows("s string", ("3/4/2020",), ("31-12-1999",), ("x",), (None,)).select(files.day_first(F.col("s"))).collect()] == [D(2020, 4, 3), D(1999, 12, 31), None, None]
     assert got(files.canonical_json(t)) == [('{"a":1,"b":"x \\"y\\""}',), ('{"a":2}',)]
     assert files.sitemap(["/a&b"], "http://x/").count("<loc>http://x/a&amp;b</loc>") == 1
+
+
+def test_glyphs_are_read_once():
+    assert glyphs.read_glyphs("£ÉÉ®iÉ Sir ÉÊBÉE") == "भारत Sir कि"
+    assert glyphs.read_glyphs("BÉEàÉÇ") == "कर्म"
+    for text in (None, "", "plain English ½ text", "पहले से हिन्दी"):
+        assert glyphs.read_glyphs(text) == text
+    once = glyphs.read_glyphs("£ÉÉ®iÉ ºÉ®BÉEÉ®")
+    assert once == "भारत सरकार" and glyphs.read_glyphs(once) == once
+
+
+def test_spans():
+    assert [spans.ordinal(x) for x in ("one hundred and twenty-third", "104 th", "fortieth", "Forty-Second", "order", "", None)] == [123, 104, 40, 42, None, None, None]
+    assert spans.mentions("The  Canal\nBill and canal bill", "canal bill") == [(5, 15), (20, 30)] and spans.mentions(None, "x") == []
+    assert spans.excerpt("One. The canal is dry! Two.", ["canal"]) == ("The canal is dry!", [(4, 9)]) and spans.excerpt("", ["x"]) is None
+    assert spans.similarity("Anil Veda", "A. Veda") == 0.75 or spans.similarity("Anil Veda", "A. Veda") > 0.5
+    assert spans.similarity("Thambi Durai", "Thambidurai") == 1.0 and spans.similarity("", "x") == 0.0
+    assert spans.longest_runs("new delhi road".split(), {("new",): "n", ("new", "delhi"): "nd", ("road",): "r"}) == [(0, 2, "nd"), (2, 3, "r")]
+
+
+def test_order_boxes_and_constrained_groups(rows):
+    assert graph.chain_order([3, 1, 2], [[1.0, 0.0], [0.0, 1.0], [0.8, 0.6]])[0] == 1 and graph.chain_order([2, 1], [[1.0], [1.0]]) == [1, 2]
+    assert graph.first_fit([5, 6, 4, 12], 10) == [0, 1, 0, 2]
+    e = rows("a int, b int, dist double", (1, 2, 0.1), (2, 3, 0.2), (3, 4, 0.3), (5, 6, 0.1))
+    s = rows("unit int, size int", *((n, 1) for n in range(1, 8)))
+    out = {r["unit"]: r["component"] for r in graph.constrained(e, s, 3, rows("a int, b int", (5, 6))).collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
