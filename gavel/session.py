@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that results depend on (time zone) or that the plans are written for (adaptive execution, Arrow).
@@ -26,3 +30,20 @@ def session(master: str | None = None, app: str = "gavel", **extra: str) -> Spar
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the application, once, in case they can't import it themselves."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="gavel-")) / "gavel.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(here.rglob("*.py")):
+            archive.write(path, path.relative_to(here.parent))
+    context.addPyFile(str(target))
