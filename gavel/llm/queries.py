@@ -108,8 +108,8 @@ links AS (
   SELECT 'tag ' || id AS a, 'tag ' || merged_into AS b FROM tags WHERE merged_into IS NOT NULL
   UNION SELECT 'subject ' || id, 'tag ' || parent_tag_id FROM subjects WHERE parent_tag_id IS NOT NULL
   UNION SELECT 'subject ' || id, 'key ' || subject_key FROM subjects WHERE subject_key IS NOT NULL),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach(a, b) AS (SELECT a, a FROM both UNION SELECT r.a, l.b FROM reach r JOIN both l ON l.a = r.b),
+undirected AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, a FROM undirected UNION SELECT r.a, l.b FROM reach r JOIN undirected l ON l.a = r.b),
 label AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
 members AS (SELECT n.kind, n.record_id, l.component FROM nodes n JOIN label l USING (node)),
 of_group AS (
