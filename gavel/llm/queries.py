@@ -35,6 +35,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     ).distinct()
 
 
+P1_FOUND = """
+WITH t AS (SELECT DISTINCT tag_id, CAST(embedding AS DOUBLE[]) AS v FROM tag_embeddings WHERE model = 'vec-archive-2' AND task_type = 'RETRIEVAL_DOCUMENT' AND len(embedding) = 96
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT id, CAST(embedding_query AS DOUBLE[]) AS v FROM entity_names WHERE len(embedding_query) = 96
+    AND len(list_filter(embedding_query, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding_query, lambda x: x <> 0)) > 0),
+q AS (SELECT DISTINCT 'tag' AS query_kind, CAST(tag_id AS BIGINT) AS query_id, tag_id AS own, v FROM t UNION ALL SELECT 'entity', id, NULL, v FROM e),
+c AS (SELECT query_kind, query_id, t.tag_id, max(list_cosine_similarity(q.v, t.v)) AS c FROM q JOIN t ON q.own IS DISTINCT FROM t.tag_id WHERE list_cosine_similarity(q.v, t.v) >= 0.8 GROUP BY ALL)
+SELECT query_kind, query_id, tag_id FROM c QUALIFY row_number() OVER (PARTITION BY query_kind, query_id ORDER BY c DESC, tag_id) <= 5
+"""
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     """The pages and turns that may be garbled: `field`, `record_id`, `text`."""
     pages = load(spark, folder, "debates", "id", "raw_html").select(F.lit("debates.raw_html").alias("field"), F.col("id").alias("record_id"), F.col("raw_html").alias("text"))
@@ -58,6 +69,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return same.where("id <> first_id").select("first_id", F.col("id").alias("turn_id")).distinct()
 
 
+P4_FOUND = """
+WITH t AS (SELECT id, text, string_split_regex(regexp_replace(text, '^[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+|[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+$', '', 'g'), '[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+') AS w FROM turns WHERE text IS NOT NULL),
+n AS (SELECT id, text, regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{Nd}]+', '', 'g') AS flat, list_filter(string_split_regex(text, '[;|\\r\\n]+'), lambda p: regexp_matches(p, '[\\p{L}\\p{M}\\p{Nd}]')) AS parts FROM t WHERE len(w) >= 25),
+f AS (SELECT id, flat, CASE WHEN len(parts) >= 2 AND regexp_matches(text, '^[^:;|\\r\\n]{1,120}:') AND len(list_filter(parts, lambda p: NOT regexp_matches(p, '^\\s*[^:]{0,59}\\p{L}[^:]{0,59}:(?s:.*)[\\p{L}\\p{Nd}]'))) = 0
+    THEN array_to_string(list_sort(list_distinct(list_transform(parts, lambda p: regexp_replace(lower(p), '[^\\p{L}\\p{M}\\p{Nd}]+', '', 'g')))), chr(10)) END AS fields FROM n),
+l AS (SELECT flat, min(fields) AS fields FROM f WHERE fields IS NOT NULL GROUP BY 1),
+g AS (SELECT f.id, coalesce('F' || l.fields, 'T' || f.flat) AS k FROM f LEFT JOIN l USING (flat))
+SELECT DISTINCT first_id, id AS turn_id FROM (SELECT id, min(id) OVER (PARTITION BY k) AS first_id FROM g) WHERE first_id <> id
+"""
+
+
 def p4_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     """One record of each group of turns that are the same but for formatting, with its number of copies."""
     same = duplicates.same_texts(load(spark, folder, "turns", "id", "text"), "id", "text")
@@ -188,6 +210,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": P1_FOUND,
+        "p4_found": P4_FOUND,
         "p6_found": P6_FOUND,
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
