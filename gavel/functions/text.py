@@ -71,3 +71,8 @@ def key_of(name: Column, year: Column, term: Column) -> Column:
     """A key of name, year and term: letters and digits of the name without a leading article, `-year`, `-lsN`."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(name), "^the\\s+", ""), "[^\\p{L}\\p{N}]", "")
     return F.concat(bare, F.lit("-"), year.cast("string"), F.lit("-ls"), term.cast("string"))
+
+
+def once(column: Column) -> Column:
+    """The column's value behind a generator, which keeps the optimizer from repeating it wherever it is used."""
+    return F.explode(F.array(column))

@@ -15,7 +15,8 @@ def unit(v: Column) -> Column:
     """The vector at length 1; null for null, all-zero and not-finite ones."""
     norm = F.sqrt(dot(v, v))
     good = (norm > 0) & ~F.isnan(norm) & (norm < float("inf"))
-    return F.when(good, F.transform(v, lambda x: x.cast("double") / norm))
+    # The norm is repeated as an array: inside a lambda it would be computed for every element.
+    return F.when(good, F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x.cast("double") / n))
 
 
 def distance(a: Column, b: Column) -> Column:

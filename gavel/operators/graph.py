@@ -36,6 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def mutual_edges(near: DataFrame, most: float) -> DataFrame:
     """Links of nodes that are each among the other's neighbours (`a`, `b`, `dist`), closer than `most`: a < b, the larger distance."""
+    near = stage(near.select("a", "b", "dist"), "near")  # read from both ends
     back = near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("dist").alias("_d"))
     both = near.join(back, ["a", "b"]).where("a < b").select("a", "b", F.greatest("dist", "_d").alias("dist"))
     return both.where(F.col("dist") < most)
@@ -81,12 +82,21 @@ def _blocks_nearest(k: int, digits: int):
         if not left.num_rows or not right.num_rows:
             return shape.empty_table()
         a, b = left["a"].to_numpy(), right["b"].to_numpy()
-        x, y = (np.array(t[c].to_pylist(), np.float64) for t, c in ((left, "va"), (right, "vb")))
+        x, y = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float64) for t, c in ((left, "va"), (right, "vb")))
+        by = np.argsort(b, kind="stable")  # so that a stable sort by distance breaks ties by id
+        b, y = b[by], y[by]
         out = []
         for at in range(0, len(a), 512):
             d = np.round(1.0 - x[at : at + 512] @ y.T, digits)
             d[a[at : at + 512, None] == b[None, :]] = np.inf
-            order = np.lexsort((np.broadcast_to(b, d.shape), d), axis=1)[:, :k]
+            if d.shape[1] > 4 * k:
+                # Everything up to the k-th smallest distance, ties included, then sorted exactly.
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                most = int((d <= edge).sum(axis=1).max())
+                some = np.sort(np.argpartition(d, most - 1, axis=1)[:, :most], axis=1)
+                order = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable")[:, :k], 1)
+            else:
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
             near = np.take_along_axis(d, order, 1)
             keep = np.isfinite(near)
             out.append((np.repeat(a[at : at + 512], keep.sum(1)), b[order][keep], near[keep]))

@@ -12,7 +12,7 @@ from gavel.functions import text as tx
 
 def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """`id`, `word`, `tf`, `length`: how often each word of a document occurs, and how many words it has."""
-    d = docs.select(F.col(id_col).alias("id"), tokens.alias("_t")).withColumn("length", F.size("_t"))
+    d = docs.select(F.col(id_col).alias("id"), tx.once(tokens).alias("_t")).withColumn("length", F.size("_t"))
     return d.select("id", "length", F.explode("_t").alias("word")).groupBy("id", "length", "word").agg(F.count("*").alias("tf"))
 
 
@@ -26,7 +26,7 @@ def bm25(docs: DataFrame, id_col: str, tokens: Column, words: Sequence[str], k1:
     Only rows with a query word are exploded; document count and mean length come from a narrow aggregate over all.
     """
     words = list(dict.fromkeys(words))
-    d = docs.select(F.col(id_col).alias("id"), tokens.alias("_t")).withColumn("length", F.size("_t"))
+    d = docs.select(F.col(id_col).alias("id"), tx.once(tokens).alias("_t")).withColumn("length", F.size("_t"))
     total = d.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     tf = F.filter(F.array(*(F.struct(F.lit(w).alias("word"), F.size(F.filter("_t", _equals(w))).alias("tf")) for w in words)), lambda x: x["tf"] > 0)
     hits = d.where(F.arrays_overlap("_t", F.array(*map(F.lit, words)))).select("id", "length", F.inline(tf))
@@ -57,12 +57,11 @@ def dictionary_hits(docs: DataFrame, id_col: str, text: Column, names: DataFrame
     Every run of up to `longest` words is looked up by an equi-join, so neither side is collected. A match inside a
     longer match at the same place doesn't count. Names of more words than `longest` are never found.
     """
-    runs = docs.select(F.col(id_col).alias("id"), tx.tokens(text).alias("_t")).withColumn("_n", F.size("_t"))
-    spans = runs.select(
-        "id", "_n", F.posexplode("_t").alias("at", "_w"), "_t"
-    ).select("id", "at", F.explode(F.expr(f"transform(sequence(1, least({longest}, _n - at)), k -> struct(k as words, array_join(slice(_t, at + 1, k), ' ') as name))")).alias("r"))
+    runs = docs.select(F.col(id_col).alias("id"), tx.once(tx.tokens(text)).alias("_t")).withColumn("_n", F.size("_t"))
+    each = f"transform(sequence(0, _n - 1), i -> transform(sequence(1, least({longest}, _n - i)), k -> struct(i as at, k as words, array_join(slice(_t, i + 1, k), ' ') as name)))"
+    spans = runs.where("_n > 0").select("id", F.explode(F.flatten(F.expr(each))).alias("r")).select("id", "r.at", "r.words", "r.name")
     dictionary = names.select(F.array_join(tx.tokens(F.col(name_col)), " ").alias("name")).where("name <> ''").distinct()
-    found = spans.select("id", "at", "r.words", "r.name").join(dictionary, "name")
+    found = spans.join(dictionary, "name")
     w = Window.partitionBy("id").orderBy("at", F.desc("words")).rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("_reach", F.max(F.col("at") + F.col("words")).over(w)).where(F.col("_reach").isNull() | (F.col("at") + F.col("words") > F.col("_reach")))
     tf = found.groupBy("id", "name").agg(F.count("*").alias("tf"))
