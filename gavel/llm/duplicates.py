@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gavel.sources.staging import stage
+
 #: What separates two fields, and what a field looks like (a name of at most 60 characters, a colon, a value).
 FIELD_BREAK = "[;|\\r\\n]+"
 FIELD = "^\\s*[^:]{0,59}\\p{L}[^:]{0,59}:(?s:.*)[\\p{L}\\p{Nd}]"
+OPENING = "^[^:;|\\r\\n]{1,120}:"
 #: White space between words, as Unicode has it.
 WHITE = "[\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
 
@@ -31,7 +34,7 @@ def fields_of(text: Column) -> Column:
     """The fields of a text that is made of two or more `name: value` fields; null for any other text."""
     parts = F.filter(F.split(text, FIELD_BREAK), lambda p: F.length(leaf(p)) > 0)
     made = (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(FIELD))
-    return F.when(text.rlike("^[^:;|\\r\\n]{1,120}:") & made, F.array_sort(F.array_distinct(F.transform(parts, leaf))))
+    return F.when(text.rlike(OPENING) & made, F.array_sort(F.array_distinct(F.transform(parts, leaf))))
 
 
 def canonical(column: Column, kind: T.DataType, unordered: Collection[str] = (), path: str = "") -> Column:
@@ -124,18 +127,21 @@ def same_texts(df: DataFrame, id_col: str, text_col: str, least_words: int = 25)
     """
     text = F.col(text_col)
     words = F.size(F.split(F.regexp_replace(text, f"^{WHITE}|{WHITE}$", ""), WHITE))
-    rows = df.where(text.isNotNull() & (words >= least_words)).select(
-        F.col(id_col),
-        F.md5(leaf(text)).alias("_flat"),
-        leaf(text).alias("_letters"),
-        fields_of(text).alias("_fields"),
-    )
+    # Each form is made behind a generator, so that the optimizer doesn't repeat it wherever it is used.
+    once = lambda c: F.explode(F.array(c))
+    rows = df.where(text.isNotNull() & (words >= least_words)).select(F.col(id_col), text.alias("_text"), once(leaf(text)).alias("_letters"))
+    may = F.col("_text").rlike(OPENING)
+    rows = rows.select(id_col, "_letters", once(F.when(may, F.filter(F.split("_text", FIELD_BREAK), lambda p: F.length(leaf(p)) > 0))).alias("_parts"))
+    made = F.col("_parts").isNotNull() & (F.size("_parts") >= 2) & F.forall("_parts", lambda p: p.rlike(FIELD))
+    rows = rows.select(id_col, "_letters", once(F.when(made, F.array_sort(F.array_distinct(F.transform("_parts", leaf))))).alias("_fields"))
     rows = rows.select(
         id_col,
-        "_flat",
+        F.md5("_letters").alias("_flat"),
         F.md5(F.array_join(F.array_sort(F.transform("_fields", F.md5)), "")).alias("_set"),
         F.coalesce(F.concat(F.lit("F"), F.array_join("_fields", "\n")), F.concat(F.lit("T"), F.col("_letters"))).alias("_form"),
     )
+    # The normal forms are made once; what follows reads them several times.
+    rows = stage(rows, "forms")
     # Flat digests of field texts lead to the digest of their fields; of several, to the smallest.
     led = rows.where("_set is not null").groupBy("_flat").agg(F.min(F.struct("_set", "_form")).alias("_to"))
     rows = rows.join(led, "_flat", "left").select(
