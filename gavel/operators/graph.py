@@ -34,6 +34,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.join(current.select(F.col("hi").alias("node"), F.col("lo").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
+def chain_ends(pointers: DataFrame, node: str = "id", into: str = "merged_into") -> DataFrame:
+    """`node`, `end`, `steps`, `group`: every node's end of the chain of pointers, and the name of what it is joined with.
+
+    A chain ends at a node without a pointer, or at an id that is no node. Nodes on a cycle, or that lead into one, have
+    no end: `end` and `steps` are null. `group` is the end, or the smallest node of the cycle, so two nodes share it
+    where pointers connect them. Pointers are doubled until none is open but those into cycles: as long as others are,
+    every doubling closes some (the chain lengths have no gaps), so one that closes none shows the cycles.
+    """
+    rows = pointers.select(F.col(node).alias("node"), F.col(into).alias("to"))
+    ends = rows.where("to is null").select("node", F.col("node").alias("end"), F.lit(0).cast("bigint").alias("steps"), F.col("node").alias("group"))
+    hop = stage(rows.where("to is not null").select("node", "to", F.lit(1).cast("bigint").alias("steps"), F.least("node", "to").alias("low"), F.lit(False).alias("done")), "chains")
+    left, reach = hop.count(), 1
+    while left:
+        on = hop.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_s"), F.col("low").alias("_low"), F.col("done").alias("_done"))
+        further = hop.where("not done").join(on, "to", "left").select(
+            "node", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), F.least("low", "_low").alias("low"), F.coalesce("_done", F.lit(True)).alias("done"))
+        hop, before, reach = stage(hop.where("done").unionByName(further), "chains"), left, 2 * reach
+        left = hop.where("not done").count()
+        if left == before and reach >= left:  # every pointer is on its cycle and has seen all of it
+            break
+    closed = hop.where("done").select("node", F.col("to").alias("end"), "steps", F.col("to").alias("group"))
+    open_, none = hop.where("not done"), F.lit(None)
+    cycles = open_.select("node", "to").join(open_.select(F.col("node").alias("to"), F.col("low").alias("group")), "to").select("node", none.cast(rows.schema["to"].dataType).alias("end"), none.cast("bigint").alias("steps"), "group")
+    return ends.unionByName(closed).unionByName(cycles)
+
+
 def mutual_edges(near: DataFrame, most: float) -> DataFrame:
     """Links of nodes that are each among the other's neighbours (`a`, `b`, `dist`), closer than `most`: a < b, the larger distance."""
     near = stage(near.select("a", "b", "dist"), "near")  # read from both ends

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gavel.operators import aggregates as agg
+from gavel.operators import graph
 from gavel.operators import relational as rel
 from gavel.plans.registry import query
 from gavel.sources.tables import load
@@ -86,17 +87,15 @@ WITH RECURSIVE c(id, pos, n) AS (SELECT id, id, 0 FROM tags UNION ALL SELECT c.i
 last AS (SELECT id, arg_max(pos, n) AS target, max(n) AS steps FROM c GROUP BY id)
 SELECT l.id, l.target, l.steps, trim(regexp_replace(lower(t.tag), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM last l JOIN tags t ON t.id = l.target""")
 def merge_chain_resolve(spark: SparkSession, folder: str) -> DataFrame:
-    """Every tag with the end of its merge chain, by pointer doubling (chains of 16 in four joins), and its slug there.
+    """Every tag with the end of its merge chain, at any length, and its slug there.
 
-    Cycles stop after as many steps as a chain may have; each doubling joins a table with itself on its key.
+    Tags on a cycle of merges, or that lead into one, have no kept tag: their target, steps and slug are null.
+    Tags that end at an id that isn't there are left out.
     """
     t = load(spark, folder, "tags", "id", "merged_into", "tag")
-    hop = t.select("id", F.coalesce("merged_into", "id").alias("to"), F.col("merged_into").isNotNull().cast("int").alias("steps"))
-    for _ in range(4):
-        on = hop.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_s"))
-        hop = hop.join(on, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"))
-    names = t.select(F.col("id").alias("to"), slug(F.col("tag")).alias("slug"))
-    return hop.join(names, "to").select("id", F.col("to").alias("target"), "steps", "slug")
+    ends = graph.chain_ends(t).select(F.col("node").alias("id"), F.col("end").alias("target"), F.col("steps").cast("int").alias("steps"))
+    names = t.select(F.col("id").alias("target"), slug(F.col("tag")).alias("slug"), F.lit(True).alias("there"))
+    return ends.join(names, "target", "left").where("there or target is null").select("id", "target", "steps", "slug")
 
 
 @query("TAG06", """
