@@ -103,10 +103,14 @@ WITH a AS (SELECT coalesce(merged_into, id) AS id, id AS src, generate_subscript
 f AS (SELECT *, row_number() OVER (PARTITION BY id, lower(trim(alias)) ORDER BY (src <> id), src, k) AS n, (src <> id) AS other FROM a)
 SELECT id, list(alias ORDER BY other, src, k) AS aliases FROM f WHERE n = 1 GROUP BY id""")
 def merged_aliases(spark: SparkSession, folder: str) -> DataFrame:
-    """The names and aliases of merged tags, each spelling once by its normal form, in first-seen order."""
+    """The names and aliases of merged tags, each spelling once by its normal form, in first-seen order.
+
+    They go to the end of the merge chain, or on a cycle to its smallest tag.
+    """
     t = load(spark, folder, "tags", "id", "merged_into", "tag", "aliases")
+    t = t.join(graph.chain_ends(t).select(F.col("node").alias("id"), F.col("group").alias("to")), "id")
     names = F.concat(F.array("tag"), F.coalesce("aliases", F.array().cast("array<string>")))
-    a = t.select(F.coalesce("merged_into", "id").alias("to"), F.col("id").alias("src"), F.posexplode(names).alias("k", "alias")).withColumn("other", F.col("src") != F.col("to"))
+    a = t.select("to", F.col("id").alias("src"), F.posexplode(names).alias("k", "alias")).withColumn("other", F.col("src") != F.col("to"))
     first = a.groupBy("to", F.lower(F.trim("alias")).alias("norm")).agg(F.min(F.struct("other", "src", "k", "alias")).alias("f"))
     return first.groupBy(F.col("to").alias("id")).agg(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["alias"]).alias("aliases"))
 

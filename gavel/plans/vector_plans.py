@@ -212,15 +212,19 @@ def scd2_build(spark: SparkSession, folder: str) -> DataFrame:
 @query("GRA05 GRA10", """
 WITH g AS (SELECT coalesce(merged_into, id) AS g, id, tag, debate_count AS n FROM tags) SELECT g AS group_id, arg_max(id, (n, -id)) AS kept, count(*) AS members, CAST(sum(n) AS BIGINT) AS debates FROM g GROUP BY 1 HAVING count(*) > 1""")
 def pick_kept(spark: SparkSession, folder: str) -> DataFrame:
-    """The member of each group to keep: of most debates, the lowest id of equals."""
-    g = load(spark, folder, "tags", "id", "merged_into", "debate_count").withColumn("group_id", F.coalesce("merged_into", "id"))
+    """The member of each group to keep: of most debates, the lowest id of equals.
+
+    A group is all tags whose merge chains have the same end (`group_id`), or the same cycle (its smallest id).
+    """
+    t = load(spark, folder, "tags", "id", "merged_into", "debate_count")
+    g = t.join(graph.chain_ends(t).select(F.col("node").alias("id"), F.col("group").alias("group_id")), "id")
     return g.groupBy("group_id").agg(F.max_by("id", F.struct("debate_count", -F.col("id"))).alias("kept"), F.count("*").alias("members"), F.sum("debate_count").alias("debates")).where("members > 1")
 
 
 @query("GRA07")
 def chain_in_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """The tags of each kept group of merged tags in a chain of nearest neighbours."""
-    t = load(spark, folder, "tags", "id", "merged_into").select(F.col("id").alias("tag_id"), F.coalesce("merged_into", "id").alias("g"))
+    """The tags of each kept group of merged tags (grouped as in `pick_kept`) in a chain of nearest neighbours."""
+    t = graph.chain_ends(load(spark, folder, "tags", "id", "merged_into")).select(F.col("node").alias("tag_id"), F.col("group").alias("g"))
     return graph.chained(_tags(spark, folder).join(t, "tag_id").select("g", F.col("tag_id").alias("id"), "v"), "g")
 
 
