@@ -71,11 +71,15 @@ def mutual_edges(near: DataFrame, most: float) -> DataFrame:
 def guarded_groups(edges: DataFrame, largest: int, start: float, step: float = 0.02, floor: float = 0.04) -> DataFrame:
     """Components of links closer than `start`; those larger than `largest` are split again at smaller distances.
 
-    `node`, `component`. Stops at `floor`: what is still too large then stays. The number of rounds doesn't depend on the data.
+    `node`, `component`, one row for every node of a link: one without a link that is close enough is a group of its own,
+    at `start` as in a group that is split. Stops at `floor`: what is still too large then stays. The number of rounds
+    doesn't depend on the data.
     """
     limit, done, rest = start, None, edges
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
     while True:
-        found = stage(components(rest.where(F.col("dist") < limit)), "groups")
+        linked = components(rest.where(F.col("dist") < limit))
+        found = stage(nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "groups")
         sizes = found.groupBy("component").agg(F.count("*").alias("n"))
         last = limit - step < floor - 1e-9
         fine = sizes if last else sizes.where(F.col("n") <= largest)
@@ -84,6 +88,7 @@ def guarded_groups(edges: DataFrame, largest: int, start: float, step: float = 0
         if last:
             return done
         big = found.join(sizes.where(F.col("n") > largest).select("component"), "component", "left_semi").select("node")
+        nodes = big
         rest = rest.join(big.select(F.col("node").alias("a")), "a", "left_semi").join(big.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "dist")
         limit -= step
 
