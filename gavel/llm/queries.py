@@ -106,20 +106,20 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return members.join(of_group, "component").select("kind", "record_id", "group_tag_id").distinct()
 
 
-def _turns(spark: SparkSession, folder: str) -> DataFrame:
+def _turns(spark: SparkSession, folder: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     turns = load(spark, folder, "turns", "id", "debate_id", "seq", "speaker_label", "text", "person_id", "role_kind")
     rosters = load(spark, folder, "debates", "id", "mp_list_raw").withColumnRenamed("id", "debate_id")
-    return speakers.clean_turns(turns, rosters)
+    return build(turns, rosters)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The first and last row of each clean turn of each debate."""
-    return _turns(spark, folder).select("debate_id", "seq_start", "seq_end")
+    return _turns(spark, folder, speakers.clean_turns).select("debate_id", "seq_start", "seq_end")
 
 
 def p5_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """The clean turns with their speakers and numbers of rows."""
-    return _turns(spark, folder)
+    """The clean turns with their speakers, numbers of rows and cleaned texts."""
+    return _turns(spark, folder, speakers.turn_texts)
 
 
 P6_FOUND = """
