@@ -229,3 +229,18 @@ def first_fit(sizes: list[int], capacity: int) -> list[int]:
         room[k] -= s
         out.append(k)
     return out
+
+
+def packed(groups: DataFrame, apart: str, name: str, size: str, capacity: int) -> DataFrame:
+    """`groups` with `box`: within each value of `apart`, groups go largest first (equal ones by `name`, null first) to the first box with room.
+
+    For as many groups in one value as fit a task.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        rows = sorted(part.to_pylist(), key=lambda r: (-r[size], r[name] is not None, r[name] or ""))
+        out = pa.Table.from_pylist(rows, part.schema)
+        return out.append_column("box", pa.array(first_fit([r[size] for r in rows], capacity), pa.int32()))
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema)
+    return groups.groupBy(apart).applyInArrow(run, f"{shape}, box int")

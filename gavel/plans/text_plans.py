@@ -176,7 +176,7 @@ def dictionary_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return search.dictionary_hits(load(spark, folder, "documents", "doc_id", "text"), "doc_id", F.col("text"), names, "name")
 
 
-@query("TXT33 TXT36 TXT31", """
+@query("TXT33 TXT31", """
 WITH r AS (SELECT DISTINCT person_id, lower(trim(name)) AS name FROM speakers WHERE name IS NOT NULL), one AS (SELECT k, min(person_id) AS p FROM (SELECT DISTINCT name AS k, person_id FROM r) GROUP BY 1 HAVING count(*) = 1),
 sorted AS (SELECT k, min(person_id) AS p FROM (SELECT DISTINCT array_to_string(list_sort(string_split_regex(name, '[ _,.]+')), ' ') AS k, person_id FROM r) GROUP BY 1 HAVING count(*) = 1),
 sur AS (SELECT k, min(person_id) AS p FROM (SELECT DISTINCT split_part(name, ' ', -1) AS k, person_id FROM r) GROUP BY 1 HAVING count(*) = 1),
@@ -234,7 +234,7 @@ def unnamed_label_rollup(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("turns"), F.sum("word_count").alias("words"), F.min("debate_date").alias("first_day"), F.max("debate_date").alias("last_day"), F.md5(F.max_by("text", F.struct("word_count", "id"))).alias("excerpt"))
 
 
-@query("TXT43 TXT58 TXT39 TXT32 TXT40", """
+@query("TXT43 TXT39 TXT32", """
 WITH a AS (SELECT DISTINCT person_id, lok_sabha_term AS term, split_part(lower(trim(name)), ' ', -1) AS sur, split_part(lower(trim(name)), ' ', 1) AS first FROM speakers WHERE name IS NOT NULL),
 b AS (SELECT DISTINCT d.loksabha AS term, lower(regexp_replace(trim(n), '^(Shri|Shrimati|Dr\\.|Prof\\.|Adv\\.) ', '')) AS name FROM (SELECT loksabha, unnest(member_names) AS n FROM debates) d),
 c AS (SELECT term, name, split_part(name, ' ', -1) AS sur, split_part(name, ' ', 1) AS first FROM b),

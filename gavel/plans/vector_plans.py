@@ -71,7 +71,7 @@ def components(spark: SparkSession, folder: str) -> DataFrame:
     return graph.components(knn_mutual_edges(spark, folder))
 
 
-@query("GRA03 GRA04 GRA06")
+@query("GRA03 GRA04")
 def component_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of tags, those of more than four split again at smaller distances."""
     return graph.guarded_groups(knn_mutual_edges(spark, folder), 4, 0.2, 0.04, 0.04)
@@ -228,7 +228,7 @@ def chain_in_groups(spark: SparkSession, folder: str) -> DataFrame:
     return graph.chained(_tags(spark, folder).join(t, "tag_id").select("g", F.col("tag_id").alias("id"), "v"), "g")
 
 
-@query("GRA04 GRA08 GRA06")
+@query("GRA04")
 def constrained_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Tags joined along mutual links, nearest first, to groups of at most ten debates' worth that share no rejected tag."""
     t = load(spark, folder, "tags", "id", "debate_count", "status")
@@ -238,6 +238,13 @@ def constrained_groups(spark: SparkSession, folder: str) -> DataFrame:
     return graph.constrained(edges, sizes, 10, apart)
 
 
+@query("GRA08")
+def packed_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The tags of each type and domain packed first-fit, largest first, into boxes of at most 350 tags of one type."""
+    t = load(spark, folder, "tags", "type", "domain").groupBy("type", "domain").agg(F.count("*").alias("members"))
+    return graph.packed(t, "type", "domain", "members", 350)
+
+
 @query("AGG21")
 def sketches(spark: SparkSession, folder: str) -> DataFrame:
     """Approximate distinct counts and quantiles per term."""
