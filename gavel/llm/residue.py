@@ -10,7 +10,7 @@ the words of these sentences are the filler vocabulary, and any run of four of t
 of phrases.
 
 *Messages.* A page without its navigation lines is reduced to its skeleton (digits masked). A page that begins like an
-error, access, sign-in, human-check or script message is one; so is a short page that names such a thing and whose
+error, access, sign-in, human-check or script message is one, at any length; so is a short page that names such a thing and whose
 skeleton several other pages share.
 """
 
@@ -135,9 +135,8 @@ def residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 texts = pc.fill_null(batch.column(1), "")
-                short = pc.less_equal(pc.utf8_length(texts), 2 * MESSAGE_CHARS)
                 some = lambda p, t=texts: pc.match_substring_regex(t, p)
-                marked, filled, signal = some(_ANY_MARKER), some(_ANY_FILLER), pc.and_(short, some(_ANY_SIGNAL))
+                marked, filled, signal = some(_ANY_MARKER), some(_ANY_FILLER), some(_ANY_SIGNAL)
                 hit = pc.or_(pc.or_(marked, filled), signal)
                 out: list[tuple] = []
                 flags = [x.filter(hit).to_pylist() for x in (marked, filled, signal)]
@@ -150,9 +149,12 @@ def residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         out += [(None, "word", None, w, None, None, None) for w in set(filler_words(text))]
                     if s:
                         core = core_of(text)
-                        if core and len(core) <= MESSAGE_CHARS and _signal.search(core):
-                            skeleton = re.sub(r"\d+", "9", re.sub(r"/\S+", "/", core)).lower()
-                            out.append((number, "page", None, skeleton, bool(_OPENING.match(core)), None, None))
+                        if core and _signal.search(core):
+                            opens, skeleton = bool(_OPENING.match(core)), None
+                            if len(core) <= MESSAGE_CHARS:
+                                skeleton = re.sub(r"\d+", "9", re.sub(r"/\S+", "/", core)).lower()
+                            if opens or skeleton:
+                                out.append((number, "page", None, skeleton, opens, None, None))
                 columns = list(zip(*out, strict=True)) or [[] for _ in types]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], fields)
 
