@@ -1,7 +1,8 @@
 """Tables written once and read several times.
 
 A staged table lies in the folder that all executors share (`spark.checkpoint.dir`), so it survives the loss of an
-executor and cuts the lineage. Only where that setting is absent, as in tests, a folder of this machine is used.
+executor and cuts the lineage. Only in local runs without the setting, as in tests, a folder of this machine is used;
+a cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="gavel-")
@@ -29,16 +32,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; what is written there is deleted with the session's tables."""
+    path = f"{shared_folder(spark).rstrip('/')}/gavel-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
     """Writes `df` as a Parquet table in the shared folder and reads it back. Columns and rows stay as they are.
 
     `by` names columns that become folders, for tables of which each reader wants one kind of row.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/gavel-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     writer = df.write.option("compression", codec)
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

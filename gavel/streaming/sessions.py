@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gavel.sources.staging import new_path
+
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
@@ -40,12 +42,8 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything that is there now through the stream into a table of the shared folder, read as a batch."""
-    import uuid
-
-    from gavel.sources.staging import shared_folder
-
     spark = stream.sparkSession
-    root = f"{shared_folder(spark).rstrip('/')}/gavel-stream-{name}-{uuid.uuid4().hex}"
+    root = new_path(spark, f"stream-{name}")
     query = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
