@@ -105,6 +105,8 @@ def pair_scores(groups: DataFrame, gold: DataFrame) -> DataFrame:
 
 #: Rows of one block of an exact comparison.
 BLOCK_ROWS = 4_096
+#: Pairs of vectors that an exact comparison may have: a million by a million.
+MOST_PAIRS = 10**12
 
 
 def _blocks_nearest(k: int, digits: int):
@@ -140,9 +142,13 @@ def nearest(left: DataFrame, right: DataFrame, k: int, digits: int = 5) -> DataF
     """The `k` rows of `right` (`b`, `vb`) nearest to each of `left` (`a`, `va`) by cosine distance of unit vectors: `a`, `b`, `dist`, `place`.
 
     Exact: blocks of both sides are multiplied as matrices, and only the `k` best of each block travel. The work grows
-    with the product of the sides. Distances are rounded to `digits`; ties go to the smaller `b`; equal ids never pair.
+    with the product of the sides, so more than `MOST_PAIRS` are refused: an index is the way then. Distances are rounded
+    to `digits`; ties go to the smaller `b`; equal ids never pair.
     """
+    left, right = stage(left, "nearest"), stage(right, "nearest")
     n, m = left.count(), right.count()
+    if n * m > MOST_PAIRS:
+        raise ValueError(f"{n} x {m} vectors are too many to compare each with each; use an index of vectors")
     p, q = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_ROWS))
     blocks = lambda c, own, other, parts, others: (F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
     l = left.select(F.col("a").cast("bigint").alias("a"), "va", *blocks("a", "lb", "rb", p, q))

@@ -77,15 +77,21 @@ def tags_of_speeches(spark: SparkSession, folder: str) -> DataFrame:
     return brands(spark, folder).groupBy("unit").agg(F.array_join(F.sort_array(F.collect_list("tag")), ", ").alias("tags"), F.count("*").alias("n"))
 
 
+#: All that a tag's chain of merges passes (a set, so a cycle ends it), and its end, or on a cycle the smallest tag of it.
+ENDS = """c(id, pos) AS (SELECT id, id FROM tags UNION SELECT c.id, t.merged_into FROM c JOIN tags t ON t.id = c.pos WHERE t.merged_into IS NOT NULL),
+cycle AS (SELECT DISTINCT t.id FROM tags t JOIN c ON c.id = t.merged_into AND c.pos = t.id),
+e AS (SELECT c.id, max(CASE WHEN t.merged_into IS NULL THEN c.pos END) AS target, count(*) AS seen, bool_or(t.id IS NULL) AS gone, coalesce(max(CASE WHEN t.merged_into IS NULL THEN c.pos END), min(cycle.id)) AS "to"
+  FROM c LEFT JOIN tags t ON t.id = c.pos LEFT JOIN cycle ON cycle.id = c.pos GROUP BY c.id)"""
+
+
 def slug(name: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one hyphen, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-@query("TAG04 GRA01 TAG05 TAG10", """
-WITH RECURSIVE c(id, pos, n) AS (SELECT id, id, 0 FROM tags UNION ALL SELECT c.id, t.merged_into, n + 1 FROM c JOIN tags t ON t.id = c.pos WHERE t.merged_into IS NOT NULL AND n < 16),
-last AS (SELECT id, arg_max(pos, n) AS target, max(n) AS steps FROM c GROUP BY id)
-SELECT l.id, l.target, l.steps, trim(regexp_replace(lower(t.tag), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM last l JOIN tags t ON t.id = l.target""")
+@query("TAG04", f"""
+WITH RECURSIVE {ENDS} SELECT e.id, e.target, CASE WHEN e.target IS NOT NULL THEN CAST(e.seen - 1 AS INTEGER) END AS steps, trim(regexp_replace(lower(g.tag), '[^a-z0-9]+', '-', 'g'), '-') AS slug
+FROM e LEFT JOIN tags g ON g.id = e.target WHERE NOT gone""")
 def merge_chain_resolve(spark: SparkSession, folder: str) -> DataFrame:
     """Every tag with the end of its merge chain, at any length, and its slug there.
 
@@ -98,8 +104,8 @@ def merge_chain_resolve(spark: SparkSession, folder: str) -> DataFrame:
     return ends.join(names, "target", "left").where("there or target is null").select("id", "target", "steps", "slug")
 
 
-@query("TAG06", """
-WITH a AS (SELECT coalesce(merged_into, id) AS id, id AS src, generate_subscripts(list_prepend(tag, aliases), 1) AS k, unnest(list_prepend(tag, aliases)) AS alias FROM tags),
+@query("TAG06", f"""
+WITH RECURSIVE {ENDS}, a AS (SELECT e.to AS id, id AS src, generate_subscripts(list_prepend(tag, aliases), 1) AS k, unnest(list_prepend(tag, aliases)) AS alias FROM tags JOIN e USING (id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY id, lower(trim(alias)) ORDER BY (src <> id), src, k) AS n, (src <> id) AS other FROM a)
 SELECT id, list(alias ORDER BY other, src, k) AS aliases FROM f WHERE n = 1 GROUP BY id""")
 def merged_aliases(spark: SparkSession, folder: str) -> DataFrame:
@@ -311,12 +317,14 @@ SELECT y, tag, n, round(share, 6) AS share, round(mid, 6) AS mid FROM m WHERE sh
 def yearly_standouts(spark: SparkSession, folder: str) -> DataFrame:
     """Tags whose share of a year is well above the median of their shares over all years, absent years counting 0."""
     n = sales(spark, folder).groupBy("y", "tag").agg(F.count("*").alias("n"))
-    years, tags = n.select("y").distinct(), n.select("tag").distinct()
-    # Both sides of the grid are dimensions: as many rows as there are years and tags.
-    grid = years.join(F.broadcast(tags)).join(n, ["y", "tag"], "left").select("y", "tag", F.coalesce("n", F.lit(0)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("y")).cast("double")
-    g = grid.withColumn("share", share)
-    mid = g.groupBy("tag").agg(F.percentile("share", 0.5).alias("mid"))
+    total = n.groupBy("y").agg(F.sum("n").alias("_t"))
+    g = n.join(total, "y").withColumn("share", F.col("n") / F.col("_t").cast("double"))
+    # A tag has one share a year, so its list is as short as the calendar; absent years are added to it as zeros.
+    every = total.agg(F.count("*").cast("int").alias("years"))
+    of_tag = g.groupBy("tag").agg(F.collect_list("share").alias("s")).join(F.broadcast(every))
+    filled = F.array_sort(F.concat("s", F.array_repeat(F.lit(0.0), F.col("years") - F.size("s"))))
+    half = (F.col("years") / 2).cast("int")
+    mid = of_tag.select("tag", "years", filled.alias("s")).select("tag", F.when(F.col("years") % 2 == 1, F.get("s", half)).otherwise((F.get("s", half - 1) + F.get("s", half)) / 2).alias("mid"))
     m = g.join(mid, "tag").where((F.col("share") >= 1.02 * F.col("mid")) & (F.col("n") >= 20))
     top = rel.top_per_group(m.withColumn("_d", F.col("share") - F.col("mid")), ["y"], [F.desc("_d"), F.col("tag")], 3)
     return top.select("y", "tag", "n", F.round("share", 6).alias("share"), F.round("mid", 6).alias("mid"))
@@ -329,8 +337,9 @@ SELECT CAST(m AS INTEGER) AS m, tag, CAST(n AS BIGINT) AS n, round(above, 6) AS
 def race_sliding_12m(spark: SparkSession, folder: str) -> DataFrame:
     """Frames of a race: per month the tags whose share of the last twelve months is furthest above their median."""
     n = sales(spark, folder).groupBy("tag", (F.col("y") * 12 + F.month("day")).alias("m")).agg(F.count("*").alias("n"))
-    months = n.agg(F.explode(F.sequence(F.min("m"), F.max("m"))).alias("m"))
-    grid = months.join(F.broadcast(n.select("tag").distinct())).join(n, ["tag", "m"], "left").select("tag", "m", F.coalesce("n", F.lit(0)).alias("n"))
+    months = n.agg(F.sequence(F.min("m"), F.max("m")).alias("all"))  # one row
+    tags = n.select("tag").distinct().join(F.broadcast(months)).select("tag", F.explode("all").alias("m"))
+    grid = tags.join(n, ["tag", "m"], "left").select("tag", "m", F.coalesce("n", F.lit(0)).alias("n"))
     w = grid.select("tag", "m", F.sum("n").over(Window.partitionBy("tag").orderBy("m").rangeBetween(-11, 0)).alias("n"))
     h = w.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("m")).cast("double"))
     k = h.join(h.groupBy("tag").agg(F.percentile("share", 0.5).alias("mid")), "tag").withColumn("_a", F.col("share") - F.col("mid"))

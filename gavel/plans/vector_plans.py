@@ -9,29 +9,30 @@ from gavel.functions import vectors as vec
 from gavel.operators import decisions as dec
 from gavel.operators import graph
 from gavel.operators import relational as rel
+from gavel.plans.analytics_plans import ENDS
 from gavel.plans.registry import query
 from gavel.sources.tables import load
 
 
 def _tags(spark: SparkSession, folder: str) -> DataFrame:
-    """Usable tag vectors of one model and task, one per tag."""
+    """Usable tag vectors of one model and task, one per tag: of several the smallest, element by element."""
     t = load(spark, folder, "tag_embeddings", "tag_id", "model", "task_type", "embedding").where("model = 'vec-archive-2' and task_type = 'RETRIEVAL_DOCUMENT'")
-    return t.select("tag_id", vec.unit(F.col("embedding")).alias("v")).where("v is not null").dropDuplicates(["tag_id"])
+    one = t.where(vec.unit(F.col("embedding")).isNotNull()).groupBy("tag_id").agg(F.min("embedding").alias("embedding"))
+    return one.select("tag_id", vec.unit(F.col("embedding")).alias("v"))
 
 
-U = "t AS (SELECT tag_id, any_value(embedding) AS v FROM tag_embeddings WHERE model = 'vec-archive-2' AND task_type = 'RETRIEVAL_DOCUMENT' AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)"
+U = "t AS (SELECT tag_id, min(embedding) AS v FROM tag_embeddings WHERE model = 'vec-archive-2' AND task_type = 'RETRIEVAL_DOCUMENT' AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)"
 D = "list_cosine_distance(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 DIST = D.format("x.v", "y.v")
 
 
 @query("VEC01 VEC05 VEC08", f"""
-WITH {U} SELECT e.id, t.tag_id, round({D.format('e.embedding_query', 't.v')}, 5) AS dist FROM (SELECT id, embedding_query FROM entity_names WHERE embedding_query IS NOT NULL AND len(list_filter(embedding_query, lambda x: isnan(x) OR x = 0)) = 0 AND id % 50 = 0) e, t
+WITH {U} SELECT e.id, t.tag_id, round({D.format('e.embedding_query', 't.v')}, 5) AS dist FROM (SELECT id, embedding_query FROM entity_names WHERE embedding_query IS NOT NULL AND len(list_filter(embedding_query, lambda x: isnan(x))) = 0 AND len(list_filter(embedding_query, lambda x: x <> 0)) > 0 AND id % 50 = 0) e, t
 QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY dist, t.tag_id) <= 5""")
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five tags nearest to the vector of every fiftieth entity."""
-    bad = F.exists("embedding_query", lambda x: F.isnan(x) | (x == 0))
-    e = load(spark, folder, "entity_names", "id", "embedding_query").where(F.col("embedding_query").isNotNull() & ~bad & (F.col("id") % 50 == 0))
-    left = e.select((-F.col("id")).alias("a"), vec.unit(F.col("embedding_query")).alias("va"))  # other ids than the tags'
+    e = load(spark, folder, "entity_names", "id", "embedding_query").where("id % 50 = 0")
+    left = e.select((-F.col("id")).alias("a"), vec.unit(F.col("embedding_query")).alias("va")).where("va is not null")  # other ids than the tags'
     right = _tags(spark, folder).select(F.col("tag_id").alias("b"), F.col("v").alias("vb"))
     return graph.nearest(left, right, 5).select((-F.col("a")).alias("id"), F.col("b").cast("int").alias("tag_id"), "dist")
 
@@ -55,7 +56,10 @@ def _near(spark: SparkSession, folder: str, k: int = 6) -> DataFrame:
     return graph.nearest(left, right, k).select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "dist", "place")
 
 
-KNN = f"{U}, k AS (SELECT x.tag_id AS a, y.tag_id AS b, round({DIST}, 5) AS dist FROM t x JOIN t y ON x.tag_id <> y.tag_id QUALIFY row_number() OVER (PARTITION BY x.tag_id ORDER BY round({DIST}, 5), y.tag_id) <= 6), m AS (SELECT k.a, k.b, greatest(k.dist, j.dist) AS dist FROM k JOIN k j ON j.a = k.b AND j.b = k.a WHERE k.a < k.b AND greatest(k.dist, j.dist) < 0.2)"
+KNN = f"""{U}, v AS (SELECT tag_id, list_transform(CAST(v AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])))) AS v FROM t),
+nn AS MATERIALIZED (SELECT x.tag_id AS a, y.tag_id AS b, round(1.0 - list_inner_product(x.v, y.v), 5) AS dist FROM v x JOIN v y ON x.tag_id <> y.tag_id),
+k AS MATERIALIZED (SELECT a, b, dist FROM nn QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) <= 6),
+m AS (SELECT k.a, k.b, greatest(k.dist, j.dist) AS dist FROM k JOIN k j ON j.a = k.b AND j.b = k.a WHERE k.a < k.b AND greatest(k.dist, j.dist) < 0.2)"""
 
 
 @query("VEC03 GRA02", f"WITH {KNN} SELECT * FROM m")
@@ -99,7 +103,7 @@ def centroid_nearest(spark: SparkSession, folder: str) -> DataFrame:
     t = _tags(spark, folder).join(load(spark, folder, "tags", "id", "type").withColumnRenamed("id", "tag_id"), "tag_id").select("type", F.posexplode("v").alias("k", "x"))
     m = t.groupBy("type", "k").agg(F.avg("x").alias("x")).groupBy("type").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("c"))
     c = m.select("type", vec.unit(F.col("c")).alias("v"))
-    pairs = c.select(F.col("type").alias("a"), F.col("v").alias("va")).join(F.broadcast(c.select(F.col("type").alias("b"), F.col("v").alias("vb")))).where("a <> b")
+    pairs = c.select(F.col("type").alias("a"), F.col("v").alias("va")).join(c.select(F.col("type").alias("b"), F.col("v").alias("vb")), F.col("a") != F.col("b"))
     return pairs.select("a", "b", F.round(vec.distance(F.col("va"), F.col("vb")), 4).alias("dist"))
 
 
@@ -209,8 +213,8 @@ def scd2_build(spark: SparkSession, folder: str) -> DataFrame:
     return rel.periods(changed, ["person_id", "term"], "effective_from").select("person_id", "term", "party_id", F.col("effective_from").alias("since"), "until")
 
 
-@query("GRA05 GRA10", """
-WITH g AS (SELECT coalesce(merged_into, id) AS g, id, tag, debate_count AS n FROM tags) SELECT g AS group_id, arg_max(id, (n, -id)) AS kept, count(*) AS members, CAST(sum(n) AS BIGINT) AS debates FROM g GROUP BY 1 HAVING count(*) > 1""")
+@query("GRA05", f"""
+WITH RECURSIVE {ENDS}, g AS (SELECT e."to" AS g, id, tag, debate_count AS n FROM tags JOIN e USING (id)) SELECT g AS group_id, arg_max(id, (n, -id)) AS kept, count(*) AS members, CAST(sum(n) AS BIGINT) AS debates FROM g GROUP BY 1 HAVING count(*) > 1""")
 def pick_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The member of each group to keep: of most debates, the lowest id of equals.
 
