@@ -25,13 +25,12 @@ def median_with_zeros(counts: DataFrame, keys: Sequence[str], value: str, popula
 
     By rank arithmetic over the rows there are, so no zero row is made. Groups larger than their population don't occur.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.join(population, list(keys)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    ranked = ranked.withColumn("_rank", F.row_number().over(w) + F.col(size) - F.col("_n"))
-    low, high = F.floor((F.col(size) + 1) / 2), F.floor((F.col(size) + 2) / 2)
-    picked = ranked.groupBy(*keys).agg(
-        (F.coalesce(F.max(F.when(F.col("_rank") == low, F.col(value))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("_rank") == high, F.col(value))), F.lit(0))).alias("_sum")
-    )
+    by = counts.groupBy(*keys, value).agg(F.count("*").alias("_n")).join(population, list(keys))  # as many rows as there are different values
+    later = Window.partitionBy(*keys).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.col(size) - F.coalesce(F.sum("_n").over(later), F.lit(0))
+    by = by.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    at = lambda k: F.coalesce(F.max(F.when((F.col("_first") <= k) & (k <= F.col("_last")), F.col(value))), F.lit(0))
+    picked = by.groupBy(*keys).agg((at(F.floor((F.col(size) + 1) / 2)) + at(F.floor((F.col(size) + 2) / 2))).alias("_sum"))
     joined = population.join(picked, list(keys), "left")
     return joined.select(*keys, F.round(F.coalesce(F.col("_sum"), F.lit(0)) / 2.0, 6).alias("median"))
 

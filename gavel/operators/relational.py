@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.operators.sequences import filled
+from gavel.sources.staging import stage
+
 
 def conjunction(conditions: Mapping[str, Column], skip: Sequence[str] = ()) -> Column:
     """All named conditions but the skipped ones, joined by AND; true if none is left. A facet skips its own names."""
@@ -98,14 +101,31 @@ def zero_filled(groups: DataFrame, counts: DataFrame, keys: Sequence[str], colum
     return joined.select(*groups.columns, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns))
 
 
-def mutual_best(scores: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Pairs in which each side is the other's only best; sides with a tie for the best match nothing."""
-    best = lambda side: Window.partitionBy(side)
-    out = scores.withColumn("_ma", F.max(score).over(best(a))).withColumn("_mb", F.max(score).over(best(b)))
-    out = out.withColumn("_na", F.count(F.when(F.col(score) == F.col("_ma"), 1)).over(best(a)))
-    out = out.withColumn("_nb", F.count(F.when(F.col(score) == F.col("_mb"), 1)).over(best(b)))
-    fit = (F.col(score) == F.col("_ma")) & (F.col(score) == F.col("_mb")) & (F.col("_na") == 1) & (F.col("_nb") == 1)
-    return out.where(fit).drop("_ma", "_mb", "_na", "_nb")
+def only_nearest(a: DataFrame, b: DataFrame, key: str, at: str, width: int = 64) -> DataFrame:
+    """Pairs of `a` and `b` (`key`, `at`, `id` each) in which each is the other's only nearest by the number `at`: `a`, `b`, `gap`.
+
+    A row with two nearest ones matches nothing. No pair is tried: of every place the nearest places of the other side
+    below and above are carried along the order, in ranges of `width`. Rows with a null key or place take no part.
+    """
+    count = lambda df, side: df.where(F.col(at).isNotNull()).groupBy(key, at).agg(F.count("*").alias(f"_n_{side}"), F.min("id").alias(f"_{side}"))
+    places = count(a, "a").join(count(b, "b"), [key, at], "full").where(F.col(key).isNotNull())
+    places = places.withColumn("_down", -F.col(at))
+    for side in ("a", "b"):
+        here = F.when(F.col(f"_n_{side}").isNotNull(), F.struct(F.col(at).alias("at"), F.col(f"_n_{side}").alias("n"), F.col(f"_{side}").alias("id")))
+        places = places.withColumn("_here", here)
+        for order, name in ((at, "below"), ("_down", "above")):
+            places = filled(places, key, order, "_here", f"_{side}_{name}", width)
+    places = stage(places.drop("_here", "_down"), "places")
+
+    def best(side: str, other: str) -> DataFrame:
+        low, high = F.col(f"_{other}_below"), F.col(f"_{other}_above")
+        down, up = F.col(at) - low["at"], high["at"] - F.col(at)
+        one = F.when(high.isNull() | (down < up), low).when(low.isNull() | (up < down), high).when(low["at"] == high["at"], low)
+        near = places.where(F.col(f"_n_{side}").isNotNull()).select(key, at, one.alias("_best")).where("_best.n = 1")
+        rows = {"a": a, "b": b}[side].select(key, at, F.col("id").alias(side)).join(near, [key, at])
+        return rows.select(side, F.col("_best.id").alias(other), F.abs(F.col(at) - F.col("_best.at")).alias("gap"))
+
+    return best("a", "b").join(best("b", "a").drop("gap"), ["a", "b"])
 
 
 def having_all(facts: DataFrame, key: str, value: str, wanted: Sequence) -> DataFrame:

@@ -262,9 +262,11 @@ p AS (SELECT debate_id, seq, generate_subscripts(string_split(text, chr(10)), 1)
 SELECT debate_id, row_number() OVER (PARTITION BY debate_id ORDER BY seq, part) - 1 AS new_seq, seq AS old_seq, md5(text) AS text_hash FROM p""")
 def rewrite_sequence(spark: SparkSession, folder: str) -> DataFrame:
     """Turns split at line ends and their debates numbered again."""
-    t = once_each(spark, folder, "text").select("debate_id", "seq", F.posexplode(F.split("text", "\n")).alias("part", "text"))
-    w = Window.partitionBy("debate_id").orderBy("seq", "part")
-    return t.select("debate_id", (F.row_number().over(w) - 1).cast("bigint").alias("new_seq"), F.col("seq").alias("old_seq"), F.md5("text").alias("text_hash"))
+    t = once_each(spark, folder, "text")
+    parts = t.select("debate_id", "seq", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n")).where("n > 0")
+    placed = seq.running_sum(parts, "debate_id", "seq", "n", "upto").select("debate_id", "seq", (F.col("upto") - F.col("n")).alias("first"))
+    each = t.select("debate_id", "seq", F.posexplode(F.split("text", "\n")).alias("part", "text")).select("debate_id", "seq", "part", F.md5("text").alias("text_hash"))
+    return each.join(placed, ["debate_id", "seq"]).select("debate_id", (F.col("first") + F.col("part")).alias("new_seq"), F.col("seq").alias("old_seq"), "text_hash")
 
 
 @query("JOI16", """
@@ -274,10 +276,9 @@ n AS (SELECT *, count(*) FILTER (WHERE score = ma) OVER (PARTITION BY a) AS na,
 SELECT a, b, score FROM n WHERE score = ma AND score = mb AND na = 1 AND nb = 1""")
 def mutual_best_match(spark: SparkSession, folder: str) -> DataFrame:
     """Customers and suppliers of a nation that are each other's only nearest by balance."""
-    c = load(spark, folder, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("k"), "c_acctbal")
-    s = load(spark, folder, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("k"), "s_acctbal")
-    scores = c.join(s, "k").select("a", "b", (-F.abs(F.round("c_acctbal", 0) - F.round("s_acctbal", 0))).alias("score"))
-    return rel.mutual_best(scores, "a", "b", "score")
+    c = load(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k"), F.round("c_acctbal", 0).alias("at"))
+    s = load(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("k"), F.round("s_acctbal", 0).alias("at"))
+    return rel.only_nearest(c, s, "k", "at").select("a", "b", (-F.col("gap")).alias("score"))
 
 
 @query("JOI09 PAG17", """
@@ -329,11 +330,13 @@ def array_unnest_coverage(spark: SparkSession, folder: str) -> DataFrame:
 WITH {SPEECHES} SELECT debate_id, seq_start, person_id, row_number() OVER (PARTITION BY debate_id ORDER BY seq_start) AS position, count(*) OVER (PARTITION BY debate_id) AS in_debate,
   rank() OVER (PARTITION BY debate_id ORDER BY word_count DESC) AS by_length FROM speeches""")
 def position_in_debate(spark: SparkSession, folder: str) -> DataFrame:
-    """Each speech's place in its debate, the debate's size, and its rank by length (windows instead of subqueries)."""
-    w = Window.partitionBy("debate_id")
-    return speeches(spark, folder).select(
-        "debate_id", "seq_start", "person_id", F.row_number().over(w.orderBy("seq_start")).cast("bigint").alias("position"), F.count("*").over(w).alias("in_debate"),
-        F.rank().over(w.orderBy(F.desc("word_count"))).cast("bigint").alias("by_length"))
+    """Each speech's place in its debate, the debate's size, and its rank by length (running counts instead of subqueries)."""
+    s = speeches(spark, folder).select("debate_id", "seq_start", "person_id", "word_count", F.lit(1).cast("bigint").alias("one"))
+    lengths = s.groupBy("debate_id", "word_count").agg(F.count("*").alias("n")).withColumn("down", -F.col("word_count"))
+    lengths = seq.running_sum(lengths, "debate_id", "down", "n", "upto").select("debate_id", "word_count", (F.col("upto") - F.col("n") + 1).alias("by_length"))
+    total = s.groupBy("debate_id").agg(F.count("*").alias("in_debate"))
+    placed = seq.running_sum(s, "debate_id", "seq_start", "one", "position")
+    return placed.join(total, "debate_id").join(lengths, ["debate_id", "word_count"]).select("debate_id", "seq_start", "person_id", "position", "in_debate", "by_length")
 
 
 @query("AGG01 AGG03 AGG12 PAG28", """
@@ -519,12 +522,11 @@ def nearest_by_expression(spark: SparkSession, folder: str) -> DataFrame:
 SELECT a.debate_id, a.seq AS at, b.seq AS neighbour FROM (SELECT DISTINCT debate_id, seq, role_kind FROM turns) a JOIN (SELECT DISTINCT debate_id, seq FROM turns) b USING (debate_id)
 WHERE a.role_kind = 'crowd' AND b.seq <> a.seq QUALIFY row_number() OVER (PARTITION BY a.debate_id, a.seq, b.seq > a.seq ORDER BY abs(b.seq - a.seq)) <= 2""")
 def neighbours_per_side(spark: SparkSession, folder: str) -> DataFrame:
-    """The two turns before and after each turn of the crowd (by lag and lead over the debate, without a self join)."""
-    t = load(spark, folder, "turns", "debate_id", "seq", "role_kind").distinct()
-    w = Window.partitionBy("debate_id").orderBy("seq")
-    around = F.array(*(f(F.col("seq"), k).over(w) for f in (F.lag, F.lead) for k in (1, 2)))
-    t = t.withColumn("n", around).where("role_kind = 'crowd'")
-    return t.select("debate_id", F.col("seq").alias("at"), F.explode("n").alias("neighbour")).where("neighbour is not null")
+    """The two turns before and after each turn of the crowd: turns are numbered, and the numbers beside it looked up."""
+    t = load(spark, folder, "turns", "debate_id", "seq", "role_kind").groupBy("debate_id", "seq").agg(F.max(F.col("role_kind") == "crowd").alias("crowd"), F.lit(1).alias("one"))
+    t = seq.running_sum(t, "debate_id", "seq", "one", "number")
+    beside = t.where("crowd").select("debate_id", F.col("seq").alias("at"), F.explode(F.array(*(F.col("number") + k for k in (-2, -1, 1, 2)))).alias("number"))
+    return beside.join(t.select("debate_id", "number", F.col("seq").alias("neighbour")), ["debate_id", "number"]).select("debate_id", "at", "neighbour")
 
 
 @query("SET01 SET02 TXT51", """
