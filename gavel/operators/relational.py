@@ -95,6 +95,26 @@ def within_spans(points: DataFrame, spans: DataFrame, key: str, at: str, start:
     return p.join(s, [key, "_range"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_range")
 
 
+#: A key counts as heavy from this share of all rows on, so there are at most as many heavy keys as its inverse.
+HEAVY = 1_000
+
+
+def spread_lookup(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """`rows` with the columns of their key's row in `facts` (one row a key), those without one dropping out.
+
+    `size` says how many of the rows have the key. Keys with a thousandth of all rows or more, of which there can be no
+    more than a thousand, are broadcast and their rows stay where they are; only the others travel. So a key with a
+    third of all rows is no single task's work. Null keys find nothing.
+    """
+    columns = [c for c in facts.columns if c != key]
+    total = facts.agg(F.sum(size).alias("_total"))
+    heavy = facts.join(F.broadcast(total)).where(F.col(size) * HEAVY >= F.col("_total")).select(key, F.struct(*columns).alias("_heavy"))
+    rest = facts.select(F.col(key).alias("_key"), F.struct(*columns).alias("_light"))
+    found = rows.join(F.broadcast(heavy), key, "left").withColumn("_key", F.when(F.col("_heavy").isNull(), F.col(key)))
+    light = found.where("_heavy is null and _key is not null").join(rest, "_key").select(*rows.columns, *(F.col("_light")[c].alias(c) for c in columns))
+    return found.where("_heavy is not null").select(*rows.columns, *(F.col("_heavy")[c].alias(c) for c in columns)).unionByName(light)
+
+
 def zero_filled(groups: DataFrame, counts: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """All groups with their counts, 0 where a group has none."""
     joined = groups.join(counts, list(keys), "left")

@@ -127,6 +127,17 @@ def test_median_counts_the_absent(rows):
     assert got(agg.median_with_zeros(c, ["g"], "n", rows("g int, size int", (1, 3), (2, 4), (3, 2)), "size")) == [(1, 2.0), (2, 0.0), (3, 0.0)]
 
 
+def test_spread_lookup_is_an_inner_join(rows, monkeypatch):
+    data = [(n, n % 7 if n % 3 else 99, "x") for n in range(200)] + [(500, None, "x"), (501, 1234, "x")]
+    facts = [(k, sum(d[1] == k for d in data), f"v{k}") for k in (*range(7), 99)]
+    want = sorted(((n, k, f"v{k}") for n, k, _ in data if k is not None and k != 1234), key=repr)
+    for heavy in (1_000, 3):
+        monkeypatch.setattr(rel, "HEAVY", heavy)
+        out = rel.spread_lookup(rows("id int, k int, clash string", *data), rows("k int, n int, v string", *facts), "k", "n")
+        assert got(out.select("id", "k", "v")) == want
+    assert rel.spread_lookup(rows("id int, k int"), rows("k int, n int, v string"), "k", "n").count() == 0
+
+
 def test_dominant_ties_go_to_the_first(rows):
     assert got(agg.dominant(rows("k int, v string", (1, "b"), (1, "a"), (1, None), (2, None)), ["k"], "v")) == [(1, "a", 1)]
 
