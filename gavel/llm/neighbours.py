@@ -2,12 +2,14 @@
 
 * *Fit*, on a bounded sample: coarse centroids by k-means on unit vectors, and for each of `PARTS` slices of the
   coordinates a code book for the residuals (vector less its centroid). All of it is broadcast; its size is bounded by
-  `MOST_CELLS` and the number of coordinates.
+  `MOST_CELLS` and the number of coordinates. Up to the square of half `MOST_CELLS` vectors, the number of centroids
+  grows with the root of the vectors, and so does the length of the lists.
 * *Lists*: every vector is stored in the lists of its `SPREAD` nearest centroids, with its residual's code there.
   Each query then visits one list, that of its nearest centroid, so a query travels once and its answer is complete
   where it is made.
 * *Search*, in the task of a list: asymmetric distance tables (the query is not quantised) estimate every cosine of
-  the list; pairs that are estimated within the fitted error of the limit are computed exactly and ranked.
+  the list. The entries of the best estimates are computed exactly and ranked; more of them, as long as an entry left
+  out might, within the fitted error, be better than the last one kept.
 
 Vectors that are equal become one list entry with the smallest ids that could be listed, so a group of copies costs as
 much as one vector, and loses nothing. Lists and query groups beyond a bound are split, and the answers merged.
@@ -21,20 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.sources.staging import stage
 
-#: Vectors that the centroids and code books are fitted on.
-FIT_ROWS = 20_000
-MOST_CELLS = 4_096
+#: Vectors that the centroids and code books are fitted on: `CELL_ROWS` for each centroid, from `LEAST_ROWS` to `FIT_ROWS`.
+LEAST_ROWS, FIT_ROWS, CELL_ROWS = 20_000, 131_072, 48
+MOST_CELLS = 16_384
 #: Nearest centroids in whose lists a vector is stored.
 SPREAD = 6
 #: Slices of the coordinates, each coded in one byte.
 PARTS = 12
 #: Queries and list entries of one task.
 QUERY_ROWS, LIST_ROWS = 8_192, 40_000
+#: Queries handled at once in a task, and how many entries are reranked for each: first, then, then all.
+CHUNK, RERANK = 64, (32, 256)
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +84,8 @@ def k_means(rows: np.ndarray, k: int, rounds: int, seed: int, unit: bool) -> np.
     rows = rows[rng.permutation(len(rows))]
     centres = np.unique(rows[:k], axis=0).copy()
     for _ in range(rounds):
-        score = rows @ centres.T
-        if not unit:
-            score -= 0.5 * (centres * centres).sum(axis=1)
-        nearest = score.argmax(axis=1)
+        half = 0.0 if unit else 0.5 * (centres * centres).sum(axis=1)
+        nearest = np.concatenate([(rows[at : at + 8192] @ centres.T - half).argmax(axis=1) for at in range(0, len(rows), 8192)])
         order = np.argsort(nearest, kind="stable")
         found, first = np.unique(nearest[order], return_index=True)
         centres[found] = np.add.reduceat(rows[order], first, axis=0)
@@ -99,15 +102,19 @@ class Index:
 
     def __init__(self, sample: np.ndarray, cells: int, parts: int, seed: int = 7):
         dims = sample.shape[1]
+        unseen = np.arange(len(sample)) % 10 == 9  # for the error; the sample has no order
+        apart, sample = sample[unseen], sample[~unseen]
         self.centres = k_means(sample, cells, 8, seed, True)
-        nearest = (sample @ self.centres.T).argmax(axis=1)
+        nearest = self.nearest(sample, 1)[:, 0]
         residuals = sample - self.centres[nearest]
         cuts = np.linspace(0, dims, min(parts, dims) + 1).astype(int)
         self.slices = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.books = [k_means(residuals[:, s], 256, 6, seed + k, False) for k, s in enumerate(self.slices)]
-        probe = sample[:: max(1, len(sample) // 512)]
-        codes = self.encode(sample, nearest)
-        error = self.estimate(probe, self.centres[nearest], codes) - probe @ sample.T
+        if not len(apart):  # too few to say: everything is computed
+            self.error = 2.0
+            return
+        probe, own = sample[:: max(1, len(sample) // 512)], self.nearest(apart, 1)[:, 0]
+        error = self.estimate(probe, self.centres[own], self.encode(apart, own)) - probe @ apart.T
         self.error = float(np.abs(error).max()) * 1.1 + 1e-4
 
     def nearest(self, rows: np.ndarray, many: int) -> np.ndarray:
@@ -141,16 +148,17 @@ class Index:
 
 
 def _fit(rows: DataFrame, cells: int, parts: int, fit_rows: int) -> Index | None:
-    n = rows.count()
+    n, fit_rows = rows.count(), min(fit_rows, max(LEAST_ROWS, CELL_ROWS * cells))
     share = min(1.0, 1.2 * fit_rows / max(n, 1))
     sample = (rows if share >= 1 else rows.sample(share, 11)).limit(fit_rows).toArrow().column("unit").combine_chunks()
     return Index(_rows(sample), min(cells, max(1, len(sample) // 8)), parts) if len(sample) else None
 
 
-def _counts(df: DataFrame, index: Index, many: int) -> np.ndarray:
+def _counts(df: DataFrame, held: Broadcast, many: int) -> np.ndarray:
     """How many rows each cell gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
         total = np.zeros(len(index.centres), np.int64)
         for batch in batches:
             total += np.bincount(index.nearest(_rows(batch.column(0)), many).ravel(), minlength=len(total))
@@ -158,16 +166,16 @@ def _counts(df: DataFrame, index: Index, many: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
 
     got = df.select("unit").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(index.centres), np.int64)
+    out = np.zeros(len(held.value.centres), np.int64)
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def _assign(index: Index, many: int, own_parts: np.ndarray, other_parts: np.ndarray, names: list[str], coded: bool):
+def _assign(held: Broadcast, many: int, own_parts: np.ndarray, other_parts: np.ndarray, names: list[str], coded: bool):
     """Each row once for each of its cells and each part of the other side there: cell, list part, query part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn, index = 0, held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -192,37 +200,56 @@ def _assign(index: Index, many: int, own_parts: np.ndarray, other_parts: np.ndar
     return run
 
 
-def _search(index: Index, limit: float, k: int):
+def _best(asked: np.ndarray, rows: np.ndarray, about: np.ndarray, error: float, limit: float, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query some entries and their exact cosines, among them the `most` best of `limit` or more, and all that tie with the last of these.
+
+    `about` holds the estimates, wrong by `error` at most. The `RERANK` best estimates are computed first; that is enough
+    where the next estimate can't beat the `most`-th exact value or the limit. Else more are, and in the end all.
+    """
+    open_ = np.arange(len(asked))
+    for many in (*RERANK, rows.shape[0]):
+        if many >= rows.shape[0]:
+            scores = asked[open_].astype(np.float64) @ rows.T.astype(np.float64)
+            for q, score in zip(open_.tolist(), scores, strict=True):
+                floor = max(limit, np.partition(score, -most)[-most]) if len(score) > most else limit
+                kept = np.flatnonzero(score >= floor)
+                yield q, kept, score[kept]
+            return
+        some = np.argpartition(-about[open_], many, axis=1)
+        beyond = np.take_along_axis(about[open_], some[:, many : many + 1], 1)[:, 0] + error
+        some = some[:, :many]
+        score = np.einsum("qd,qed->qe", asked[open_].astype(np.float64), rows[some].astype(np.float64))
+        last = np.partition(score, -most, axis=1)[:, -most] if many > most else np.full(len(open_), -np.inf)
+        done = beyond < np.maximum(last, limit)
+        for at in np.flatnonzero(done).tolist():
+            kept = score[at] >= max(limit, last[at])
+            yield int(open_[at]), some[at][kept], score[at][kept]
+        open_ = open_[~done]
+        if not len(open_):
+            return
+
+
+def _search(held: Broadcast, limit: float, k: int):
     def run(key: tuple, queries: pa.Table, entries: pa.Table) -> pa.Table:
         shape = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("found", pa.int64()), ("cosine", pa.float64())])
         if not queries.num_rows or not entries.num_rows:
             return shape.empty_table()
+        index = held.value
         centre = index.centres[key[0].as_py()]
         rows = _rows(entries["unit"].combine_chunks())
         codes = np.frombuffer(b"".join(entries["code"].to_pylist()), np.uint8).reshape(len(rows), -1)
         members = entries["ids"].to_pylist()
+        first = np.array([m[0] for m in members], np.int64)
         kinds, ids, owns = (queries[c].to_pylist() for c in ("kind", "id", "own"))
         asked = _rows(queries["unit"].combine_chunks())
         out: list[tuple] = []
-        for at in range(0, len(asked), 512):
-            block = asked[at : at + 512]
-            q, e = np.nonzero(index.estimate(block, centre, codes) >= limit - index.error)
-            exact = np.einsum("ij,ij->i", block[q].astype(np.float64), rows[e].astype(np.float64))
-            keep = exact >= limit
-            q, e, exact = q[keep], e[keep], exact[keep]
-            order = np.lexsort((-exact, q))
-            best: dict[int, dict[int, float]] = {}
-            for j in order:
-                got = best.setdefault(int(q[j]), {})
-                if len(got) >= k and exact[j] < min(sorted(got.values(), reverse=True)[:k]):
-                    continue
-                own = owns[at + q[j]]
-                for member in members[e[j]]:
-                    if member != own and member not in got:
-                        got[member] = float(exact[j])
-            for number, got in best.items():
-                top = sorted(got.items(), key=lambda x: (-x[1], x[0]))[:k]
-                out += [(kinds[at + number], ids[at + number], member, cosine) for member, cosine in top]
+        for at in range(0, len(asked), CHUNK):
+            block = asked[at : at + CHUNK]
+            # Every entry has an id that may be listed, but for the query's own: one more than k holds the k best ids.
+            for q, which, scores in _best(block, rows, index.estimate(block, centre, codes), index.error, limit, k + 1):
+                own, order = owns[at + q], np.lexsort((first[which], -scores))[: k + 1]
+                top = sorted((-scores[j], m) for j in order.tolist() for m in members[which[j]] if m != own)
+                out += [(kinds[at + q], ids[at + q], m, -float(s)) for s, m in top[:k]]
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, shape.types, strict=True)], schema=shape)
 
@@ -250,9 +277,10 @@ def most_similar(
     """
     units = unit_vectors(base.select(F.col("id").cast("bigint").alias("id"), "vector"), "vector", dims, "id")
     copies = Window.partitionBy("unit").orderBy("id")
+    # Repeats go first and are spread by both columns; then each task passes on at most k + 1 ids of a vector.
     entries = stage(
-        units.withColumn("n", F.dense_rank().over(copies)).where(F.col("n") <= k + 1)
-        .groupBy("unit").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids", "unit"),
+        units.distinct().withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
+        .groupBy("unit").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", "unit"),
         "vectors",
     )
     asked = unit_vectors(
@@ -263,21 +291,21 @@ def most_similar(
     index = _fit(entries.select("unit"), cells or min(MOST_CELLS, math.ceil(2 * math.sqrt(n))), PARTS, fit_rows) if n else None
     if index is None:
         return asked.sparkSession.createDataFrame([], "kind string, id bigint, found bigint, cosine double")
-    spread = min(spread, len(index.centres))
-    list_parts = np.maximum(1, -(-_counts(entries, index, spread) // LIST_ROWS))
-    query_parts = np.maximum(1, -(-_counts(asked, index, 1) // QUERY_ROWS))
+    held, spread = asked.sparkSession.sparkContext.broadcast(index), min(spread, len(index.centres))
+    list_parts = np.maximum(1, -(-_counts(entries, held, spread) // LIST_ROWS))
+    query_parts = np.maximum(1, -(-_counts(asked, held, 1) // QUERY_ROWS))
     keys = ["cell", "list_part", "query_part"]
     shape = "cell int, list_part int, query_part int"
     stored = entries.mapInArrow(
-        _assign(index, spread, list_parts, query_parts, [*keys, "ids", "unit", "code"], True),
+        _assign(held, spread, list_parts, query_parts, [*keys, "ids", "unit", "code"], True),
         f"{shape}, ids array<bigint>, unit binary, code binary",
     )
     visits = asked.mapInArrow(
-        _assign(index, 1, query_parts, list_parts, [*keys, "kind", "id", "own", "unit"], False),
+        _assign(held, 1, query_parts, list_parts, [*keys, "kind", "id", "own", "unit"], False),
         f"{shape}, kind string, id bigint, own bigint, unit binary",
     )
     found = visits.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(
-        _search(index, limit, k), "kind string, id bigint, found bigint, cosine double"
+        _search(held, limit, k), "kind string, id bigint, found bigint, cosine double"
     )
     if list_parts.max() == 1:
         return found
@@ -286,37 +314,3 @@ def most_similar(
         found.groupBy("kind", "id", "found").agg(F.max("cosine").alias("cosine"))
         .withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
     )
-
-
-def exact_similar(base: DataFrame, queries: DataFrame, dims: int, k: int = 5, limit: float = 0.8) -> DataFrame:
-    """The same rows as `most_similar` by comparing each query with every base vector, for measuring recall on small tables."""
-    units = unit_vectors(base, "vector", dims, "id").toArrow()
-    ids, rows = units["id"].to_pylist(), _rows(units["unit"].combine_chunks())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            scores = _rows(batch.column(3)).astype(np.float64) @ rows.T.astype(np.float64)
-            for q, (kind, number, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                best: dict[int, float] = {}
-                for e in np.flatnonzero(scores[q] >= limit):
-                    if ids[e] != own:
-                        best[ids[e]] = max(best.get(ids[e], -1.0), float(scores[q, e]))
-                out += [(kind, number, m, c) for m, c in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            types = [pa.string(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "id", "found", "cosine"]
-            )
-
-    asked = unit_vectors(
-        queries.select("kind", F.col("id").cast("bigint").alias("id"), F.col("own").cast("bigint").alias("own"), "vector"),
-        "vector", dims, "kind", "id", "own",
-    )
-    return asked.mapInArrow(run, "kind string, id bigint, found bigint, cosine double")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two array columns; null where either is null or has length 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

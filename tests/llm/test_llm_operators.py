@@ -21,11 +21,20 @@ def vectors(n, dims=16, seed=5):
     return [(k, [float(x) for x in hubs[k // 6] + 0.15 * rng.normal(size=dims)]) for k in range(n)]
 
 
+def brute(data, k=5, limit=0.8):
+    x = np.array([np.float32(v) for _, v in data], np.float64)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    score = x @ x.T
+    np.fill_diagonal(score, -1)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return {(data[q][0], data[e][0]) for q in range(len(data)) for e in best[q] if score[q, e] >= limit}
+
+
 def test_neighbours_recall_against_brute_force(rows):
     data = vectors(900)
     base = rows("id bigint, vector array<float>", *data)
     asked = base.select(F.lit("q").alias("kind"), "id", F.col("id").alias("own"), "vector")
-    want = set(got(neighbours.exact_similar(base, asked, 16).select("id", "found")))
+    want = brute(data)
     found = set(got(neighbours.most_similar(base, asked, 16, fit_rows=400).select("id", "found")))
     assert len(want) > 1000 and len(found & want) / len(want) >= 0.97 and len(found - want) / len(want) < 0.02
 
@@ -40,6 +49,24 @@ def test_neighbours_split_lists_give_the_same(rows, monkeypatch):
     assert set(got(neighbours.most_similar(base, asked, 16, cells=4).select("id", "found"))) == whole
 
 
+def test_neighbours_in_one_dense_list(rows):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=16)
+    data = [(k, [float(x) for x in centre + 0.05 * rng.normal(size=16)]) for k in range(1_500)]
+    base = rows("id bigint, vector array<float>", *data)
+    asked = base.select(F.lit("q").alias("kind"), "id", F.col("id").alias("own"), "vector")
+    found = set(got(neighbours.most_similar(base, asked, 16, cells=1).select("id", "found")))
+    want = brute(data)
+    assert len(want) == 7_500 and len(found & want) / len(want) >= 0.999
+
+
+def test_a_vector_that_many_share_costs_one_entry(rows):
+    v = [1.0, 2.0, 0.0, 1.0]
+    base = rows("id bigint, vector array<float>", *((k, v) for k in range(3_000)), (5_000, [0.0, 0.0, 1.0, 0.0]))
+    asked = rows("kind string, id bigint, own bigint, vector array<float>", ("q", 1, 1, v), ("e", 7, None, v))
+    assert got(neighbours.most_similar(base, asked, 4, k=3).select("kind", "found")) == [("e", 0), ("e", 1), ("e", 2), ("q", 0), ("q", 2), ("q", 3)]
+
+
 def test_neighbours_edge_cases(rows):
     v = [1.0, 0.0, 0.0, 0.0]
     bad = [(90, None), (91, [0.0] * 4), (92, [float("nan")] * 4), (93, [1.0]), (94, [1.0, None, 0.0, 0.0]), (95, [float("inf")] * 4), (96, [])]
@@ -200,26 +227,36 @@ def test_tokens_of_random_texts(rows):
     assert all(out[n] == plain.encode_ordinary(t) for n, t in enumerate(texts))
 
 
-def test_best_fit_picks_the_tightest_container():
+def test_patterns_are_those_of_best_fit_decreasing():
     random.seed(4)
-    for _ in range(200):
-        capacity = random.randint(1, 60)
-        sizes = sorted((random.randint(1, capacity) for _ in range(random.randint(0, 70))), reverse=True)
-        where, left = packing.best_fit(sizes, capacity)
+    for _ in range(300):
+        capacity = random.randint(2, 60)
+        sizes = sorted((random.randint(1, capacity - 1) for _ in range(random.randint(0, 90))), reverse=True)
+        found = packing.patterns({s: sizes.count(s) for s in sizes}, capacity)
         room = []
         for s in sizes:
             fits = [k for k, r in enumerate(room) if r >= s]
             k = min(fits, key=lambda k: room[k]) if fits else len(room)
             room += [capacity] * (k == len(room))
             room[k] -= s
-        assert sorted(room) == sorted(left) and len(where) == len(sizes)
+        left = [capacity - sum(s * n for s, n in p.held) for p in found for _ in range(p.many)]
+        assert sorted(room) == sorted(left)
+        assert sorted((s for p in found for s, n in p.held for _ in range(n * p.many)), reverse=True) == sizes
+    many = packing.patterns({1_100: 10**9, 900: 10**9 + 7, 3: 5}, 2_048)
+    assert len(many) < 10 and sum(p.many for p in many) == 10**9 + 4 and all(sum(s * n for s, n in p.held) <= 2_048 for p in many)
+
+
+def test_no_task_takes_all_items_where_no_container_gets_full(rows, spark):
+    df = spark.range(20_000).select("id", F.lit(1_100).alias("n"))
+    out = packing.pack(df, "id", "n", 2_048)
+    assert out.select("bin").distinct().count() == 20_000 and out.rdd.getNumPartitions() > 1
 
 
 def test_containers_hold_everything_once(rows):
     random.seed(6)
     sizes = [random.choice([0, 3, 50, 99, 100, 101, 250, 1000]) for _ in range(400)] + [None]
     df = rows("id bigint, n int, bin string", *((k, n, "clash") for k, n in enumerate(sizes)), (0, 70, "twice"))
-    out = packing.pack(df, "id", "n", 100, shard_items=40).collect()
+    out = packing.pack(df.repartition(5), "id", "n", 100).collect()
     total = {}
     for r in out:
         if r["bin"] is not None:
