@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gavel.operators.relational import spread_lookup
 from gavel.sources.staging import stage
 
 #: Links in a partition.
@@ -100,9 +101,11 @@ def components(links: DataFrame, a: str, b: str, partition_links: int = PARTITIO
         edges = stage(torn.select(F.col("parent").alias("a"), F.col("root").alias("b")).distinct(), "forest")
         level += 1
     for parents in reversed(settled):
-        known = labels.withColumnRenamed("node", "parent")
-        below = parents.join(labels.select("node"), "node", "left_anti").join(known, "parent", "left")
-        labels = stage(labels.unionByName(below.select("node", F.coalesce("component", "parent").alias("component"))), "labels")
+        # A parent may have a third of all records, so what is known of it goes to them, not they to it.
+        below = parents.join(labels.select("node"), "node", "left_anti")
+        sizes = below.groupBy("parent").agg(F.count("*").alias("_n"))
+        known = sizes.join(labels.withColumnRenamed("node", "parent"), "parent", "left").withColumn("component", F.coalesce("component", "parent"))
+        labels = stage(labels.unionByName(spread_lookup(below, known, "parent", "_n").select("node", "component")), "labels")
     return labels
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.llm import duplicates, garbled, groups, lookalikes, neighbours, packing, residue, speakers, tokens
+from gavel.operators.relational import spread_lookup
 from gavel.sources.tables import load
 
 CAPACITY = 2_048
@@ -103,7 +104,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     of_group = members.groupBy("component").agg(
         F.min(F.when(F.col("kind") == "tag", F.col("record_id"))).alias("group_tag_id"), F.count("*").alias("n")
     ).where("n > 1 and group_tag_id is not null")
-    return members.join(of_group, "component").select("kind", "record_id", "group_tag_id").distinct()
+    # Told without moving the members of heavy groups; records are distinct, and so are their rows.
+    return spread_lookup(members, of_group, "component", "n").select("kind", "record_id", "group_tag_id")
 
 
 def _turns(spark: SparkSession, folder: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:

@@ -289,3 +289,17 @@ def test_residue(rows):
 def test_shared_pages_are_messages(rows):
     t = [(n, f"Something about an error, number {n}, on this page") for n in range(6)] + [(10, "Another page with an error on line 5")]
     assert {r["id"] for r in residue.residue(rows("id bigint, text string", *t), "id", "text").collect()} == set(range(6))
+
+
+def test_equal_digests_of_different_texts_stay_apart(rows, monkeypatch):
+    words = [f"w{n}" for n in range(30)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    fields = "; ".join(f"name {n}: some value {n}" for n in range(12))
+    data = [(1, a), (2, a.upper()), (3, b), (4, b + "!"), (5, fields), (6, "; ".join(reversed(fields.split("; ")))), (7, fields.replace(";", ","))]
+    t = rows("id bigint, text string", *data)
+    want = [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 3, 2), (5, 5, 3), (6, 5, 3), (7, 5, 3)]
+    assert got(duplicates.same_texts(t, "id", "text")) == want
+    plain = duplicates.digest
+    monkeypatch.setattr(duplicates, "digest", lambda *a, **k: F.substring(plain(*a, **k), 1, 0))  # all digests collide
+    assert got(duplicates.same_texts(t, "id", "text")) == want
+    assert got(duplicates.collapse(t, "id", ["text"]).where("id < 5")) == want[:4]
