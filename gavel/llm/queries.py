@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm import duplicates, garbled, groups, lookalikes, neighbours, packing, residue, speakers, tokens
 from gavel.operators.relational import spread_lookup
+from gavel.sources.staging import stage
 from gavel.sources.tables import load
 
 CAPACITY = 2_048
@@ -100,7 +101,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     records = tags.select(F.lit("tag").alias("kind"), F.col("id").alias("record_id"), tag("id").alias("node")).unionByName(
         subjects.select(F.lit("subject").alias("kind"), F.col("id").alias("record_id"), subject("id").alias("node"))
     ).distinct()
-    members = records.join(groups.components(links, "a", "b"), "node")
+    members = stage(records.join(groups.components(links, "a", "b"), "node").drop("node"), "members")
     of_group = members.groupBy("component").agg(
         F.min(F.when(F.col("kind") == "tag", F.col("record_id"))).alias("group_tag_id"), F.count("*").alias("n")
     ).where("n > 1 and group_tag_id is not null")
