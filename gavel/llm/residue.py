@@ -1,21 +1,28 @@
 """Template residue, filler text and messages of the site in place of content.
 
-*Placeholders.* Everything written like a template variable is a marker: a syntax, a name, and the words left and right
-of it. Records with the same words around a marker are aligned by them: where the same surroundings (a slot) hold
-several names, or a name occurs in a syntax that nothing else uses, the name is a variable. Weak syntaxes, which real
-text uses as well (quotation marks, single braces), count only for names or slots induced that way.
+Lists of syntaxes, phrases and openings are seeds: they say where to look and how much is believed before any row is
+seen. What counts is decided by the rows.
+
+*Placeholders.* Everything written like a template variable, a default or a blank is a marker: a syntax, a name, and the
+words left and right of it. Records with the same words around a marker are aligned by them: such surroundings are a
+slot where several names stand in them. A name is a variable where it stands in a slot, or in several syntaxes. A syntax
+is a template's where enough of its names are variables (`SEED_MARKS` marks of each seeded syntax are believed to be);
+then all it marks is residue. Of any other syntax, and of blanks and defaults, only what is a variable or stands in a
+slot of variables.
 
 *Filler.* Sentences of mock Latin are found by their two best-known words where no function word stands beside them;
 the words of these sentences are the filler vocabulary, and any run of four of them anywhere is filler. Besides, a list
 of phrases.
 
-*Messages.* A page without its navigation lines is reduced to its skeleton (digits masked). A page that begins like an
-error, access, sign-in, human-check or script message is one, at any length; so is a short page that names such a thing and whose
-skeleton several other pages share.
+*Messages.* A page without its navigation lines is reduced to its skeleton (digits and paths masked), at any length. A
+skeleton that pages fill in different ways is a whole-page template. An opening (the first words of the skeleton) is a
+message's where enough of its pages are such templates: half if it begins like an error, access, sign-in, human-check or
+script message, of which `SEED_PAGES` pages are believed to be; else nine in ten of those that name such a thing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,10 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gavel.operators.relational import spread_lookup
 from gavel.sources.staging import stage
 
 _N = r"([A-Za-z][A-Za-z0-9]*(?:[_ .\-][A-Za-z0-9]+)*)"
-#: Marker syntaxes: name, pattern, and whether only templates write so.
+#: Marker syntaxes: name, pattern, and whether it is seeded as one that only templates use.
 SYNTAXES = [
     ("mustache", rf"\{{\{{\{{?\s*[#/^>&]?\s*{_N}\s*(?:\|[^{{}}]*)?\}}?\}}\}}", True),
     ("dollar", rf"\$\{{\s*{_N}[^{{}}]*\}}", True),
@@ -48,9 +56,11 @@ SYNTAXES = [
     ("brace", rf"(?<![{{$#%(]){{{_N}}}(?!}})", False),
     ("bracket", rf"(?<!\[)\[{_N}\](?!\])", False),
     ("angle", r"<([A-Za-z]+(?:_[A-Za-z]+)+)>", False),
+    ("blank", r"(_{3,}|\.{5,})", False),
+    ("default", r"(?i)\b(TBD|TBC|dd[/-]mm[/-]yy(?:yy)?|xx+)\b", False),
 ]
 _syntaxes = [(name, re.compile(p), strong) for name, p, strong in SYNTAXES]
-_ANY_MARKER = "\\{\\{|\\$\\{|#\\{|\\[\\[|<%|\\{%|__[A-Za-z]|@@|%\\(|%[A-Za-z]|«[A-Za-z]|\\{[A-Za-z]|<[A-Za-z]+[ _]|\\[[A-Za-z]|(लिखें|भरें|डालें|जोड़ें)\\]"
+_ANY_MARKER = "_{3}|\\.{5}|(?i:\\bTBD\\b|\\bTBC\\b|dd[/-]mm[/-]yy|\\bxx+\\b)|\\{\\{|\\$\\{|#\\{|\\[\\[|<%|\\{%|__[A-Za-z]|@@|%\\(|%[A-Za-z]|«[A-Za-z]|\\{[A-Za-z]|<[A-Za-z]+[ _]|\\[[A-Za-z]|(लिखें|भरें|डालें|जोड़ें)\\]"
 #: Filler phrases at the start of a sentence (fixed values).
 FILLER = (
     r"this is (?:a )?(?:dummy|sample|placeholder|filler|test) (?:content|text|paragraph|page)",
@@ -87,11 +97,18 @@ _OPENING = re.compile(
 _signal = re.compile(_ANY_SIGNAL)
 #: Lines of navigation around a page's text.
 _chrome = re.compile(r"^\s*(?:[^|\n]{1,40}(?:\|[^|\n]{1,40})+|©.*|\[\d+\]|(?:copyright|all rights reserved)\b.*)\s*$", re.I)
-MESSAGE_CHARS, SHARED_PAGES = 500, 5
+#: Marks of a seeded syntax, and pages of a seeded opening, that are believed to be a template's before any is seen.
+SEED_MARKS, SEED_PAGES = 8, 8
+#: Words of an opening; the shares of template pages that make an opening a message's, seeded or not.
+OPENING_WORDS, SEEDED_SHARE, OTHER_SHARE = 3, 0.5, 0.9
 #: Places of the table of filler words by hash, and the words in a row that make a run of filler.
 WORD_HASHES, RUN_WORDS = 1 << 16, 4
 
 
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "replace")).hexdigest()
+
+
 def core_of(text: str) -> str:
     """A page without navigation lines and a trailing number in brackets."""
     lines = [line for line in text.splitlines() if line.strip() and not _chrome.match(line)]
@@ -114,8 +131,8 @@ def markers(text: str) -> Iterator[tuple[str, str, bool, str, str]]:
             name = re.sub(r"[\s_.\-]+", "_", m.group(1).strip().lower())
             left = re.findall(r"\S+", text[max(0, m.start() - 60) : m.start()])
             right = re.findall(r"\S+", text[m.end() : m.end() + 60])
-            mask = lambda w: re.sub(r"\d+", "9", w)
-            yield syntax, name, strong, mask(left[-1]) if left else "^", mask(right[0]) if right else "$"
+            mask = lambda words: re.sub(r"\d+", "9", " ".join(words))
+            yield syntax, name or syntax, strong, mask((["^"] + left)[-2:]), mask((right + ["$"])[:2])
 
 
 def residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,6 +140,7 @@ def residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Null, empty and blank texts are no cases, nor are texts that speak about errors or placeholders, nor mark-up. A
     text with placeholders or filler anywhere is a case; a message only if it is the whole text but for navigation.
+    Copies of a row are judged alike, and are no evidence: a template is filled in different ways.
     """
     sql_id = df.schema[id_col].dataType.simpleString()
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[sql_id]
@@ -150,11 +168,9 @@ def residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if s:
                         core = core_of(text)
                         if core and _signal.search(core):
-                            opens, skeleton = bool(_OPENING.match(core)), None
-                            if len(core) <= MESSAGE_CHARS:
-                                skeleton = re.sub(r"\d+", "9", re.sub(r"/\S+", "/", core)).lower()
-                            if opens or skeleton:
-                                out.append((number, "page", None, skeleton, opens, None, None))
+                            skeleton = re.sub(r"\d+", "9", re.sub(r"/\S+", "/", core)).lower()
+                            opening = " ".join(re.findall(r"\w+", skeleton[:400])[:OPENING_WORDS])
+                            out.append((number, "page", opening, _digest(skeleton), bool(_OPENING.match(core)), _digest(text), None))
                 columns = list(zip(*out, strict=True)) or [[] for _ in types]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], fields)
 
@@ -162,21 +178,8 @@ def residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     seen = stage(base.mapInArrow(look, shape), "residue", by=["found"])
 
     found = seen.where("found = 'marker'")
-    variables = found.where("strong").select("name").distinct()
-    slots = (
-        found.join(variables.withColumn("known", F.lit(True)), "name", "left")
-        .groupBy("left", "right").agg(F.count_distinct("name").alias("n"), F.max(F.coalesce("known", F.lit(False))).alias("known"))
-        .where("n > 1 and known").select("left", "right")
-    )
-    weak = found.where("not strong")
-    placeholders = (
-        found.where("strong").select("id")
-        .unionByName(weak.join(variables, "name", "left_semi").select("id"))
-        .unionByName(weak.join(slots, ["left", "right"], "left_semi").select("id"))
-    )
-    pages = seen.where("found = 'page'")
-    shared = pages.groupBy("name").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= SHARED_PAGES).select("name")
-    messages = pages.where("strong").select("id").unionByName(pages.join(shared, "name", "left_semi").select("id"))
+    placeholders = _placeholders(found)
+    messages = _messages(seen.where("found = 'page'"))
 
     words = seen.where("found = 'word'").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     hashes = words.select((F.crc32("name") % WORD_HASHES).alias("h")).distinct().toArrow()["h"].to_numpy()
@@ -194,6 +197,43 @@ def residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out
 
 
+def _placeholders(found: DataFrame) -> DataFrame:
+    """The ids of the markers that the rows say are a template's."""
+    named = found.where("syntax not in ('blank', 'default')")
+    places = named.groupBy("left", "right", "name").agg(F.max("strong").alias("strong"))
+    # Surroundings that hold several names, one of them in a seeded syntax, are a slot.
+    slots = places.groupBy("left", "right").agg(F.count("*").alias("n"), F.max("strong").alias("strong")).where("n > 1 and strong").select("left", "right")
+    in_slot = places.join(slots, ["left", "right"], "left_semi").select("name").distinct()
+    written = named.groupBy("name", "syntax").agg(F.count("*").alias("n"), F.max("strong").alias("strong"))
+    several = written.groupBy("name").agg(F.count("*").alias("k"), F.max("strong").alias("s")).where("k > 1 and s").select("name")
+    variables = in_slot.union(several).distinct().withColumn("known", F.lit(True))
+    of = written.join(variables, "name", "left").groupBy("syntax").agg(
+        (F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)) + F.when(F.max("strong"), SEED_MARKS).otherwise(0)).alias("yes"),
+        (F.sum("n") + F.when(F.max("strong"), SEED_MARKS).otherwise(0) + 1).alias("all"), F.max("strong").alias("strong"))
+    templates = of.where(F.col("strong") & (F.col("yes") >= 0.5 * F.col("all"))).select("syntax")  # as many rows as syntaxes
+    return (
+        found.join(F.broadcast(templates), "syntax", "left_semi").select("id")
+        .unionByName(named.join(variables, "name", "left_semi").select("id"))
+        .unionByName(found.join(slots, ["left", "right"], "left_semi").select("id"))
+    )
+
+
+def _messages(pages: DataFrame) -> DataFrame:
+    """The ids of the pages whose opening the rows say is a message's."""
+    filled = pages.select("name", "left").distinct().groupBy("name").agg(F.count("*").alias("forms"))
+    known = pages.groupBy("name").agg(F.count("*").alias("n")).join(filled, "name")
+    told = stage(spread_lookup(pages.select("id", F.struct("syntax", "strong").alias("opening"), "name", "left"), known, "name", "n"), "pages")
+    # Copies of one text count once.
+    once = told.select("opening", "name", "left", (F.col("forms") > 1).cast("int").alias("template")).distinct()
+    share = once.groupBy("opening").agg(F.sum("template").alias("yes"), F.count("*").alias("all"))
+    seeded = F.col("opening.strong")
+    believed = F.when(seeded, SEED_PAGES).otherwise(0)
+    fits = (F.col("yes") + believed) >= (F.col("all") + believed + 1) * F.when(seeded, SEEDED_SHARE).otherwise(OTHER_SHARE)
+    sizes = told.groupBy("opening").agg(F.count("*").alias("n"))
+    openings = share.where(fits).select("opening").join(sizes, "opening")
+    return spread_lookup(told.select("id", "opening"), openings, "opening", "n").select("id")
+
+
 def _runs(base: DataFrame, sql_id: str, arrow_id: pa.DataType, hashes: np.ndarray) -> DataFrame:
     """Every run of words whose hashes are those of filler words: `id`, `run`, `words`."""
 

@@ -286,9 +286,22 @@ def test_residue(rows):
     assert residue.residue(df.limit(0), "id", "text").count() == 0
 
 
-def test_shared_pages_are_messages(rows):
-    t = [(n, f"Something about an error, number {n}, on this page") for n in range(6)] + [(10, "Another page with an error on line 5")]
-    assert {r["id"] for r in residue.residue(rows("id bigint, text string", *t), "id", "text").collect()} == set(range(6))
+def test_whole_page_templates_are_messages_by_their_share(rows):
+    filled = [(n, f"Something about an error, number {n}, on this page") for n in range(12)]
+    copies = [(100 + n, "Farmers reported an error of the portal to the House today") for n in range(40)]
+    content = [(200 + n, f"Something about an error in field {n}: " + w) for n, w in enumerate(["canal", "mill", "road"])]
+    t = rows("id bigint, t string", *filled, *copies)
+    assert {r["id"] for r in residue.residue(t, "id", "t").collect()} == set(range(12))  # copies are no template
+    t = rows("id bigint, t string", *filled[:5], *content)
+    assert residue.residue(t, "id", "t").count() == 0  # five of eight are too few
+    speech = [(300 + n, f"Sorry, this House heard {w} " * 9) for n, w in enumerate("a b c d e f g h i j k l m n o p q r s t".split())]
+    assert residue.residue(rows("id bigint, t string", *((n, t + "about an error") for n, t in speech)), "id", "t").count() == 0  # the seed is outvoted
+
+
+def test_blanks_and_defaults_count_only_in_slots(rows):
+    slot = [(n, f"Reply to {{{{{w}}}}} was laid by the clerk.") for n, w in enumerate(["member", "party"])]
+    t = rows("id bigint, t string", *slot, (10, "Reply to ______ was laid by the clerk."), (11, "Reply to TBD was laid by the clerk."), (12, "Sign here ______ and go."), (13, "Contents ........ 12"))
+    assert {r["id"] for r in residue.residue(t, "id", "t").collect()} == {0, 1, 10, 11}
 
 
 def test_equal_digests_of_different_texts_stay_apart(rows, monkeypatch):
