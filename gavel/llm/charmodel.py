@@ -31,6 +31,13 @@ def _hash(*parts: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _among(asked: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """How often each of `asked` is in `there`."""
+    values, counts = np.unique(there, return_counts=True)
+    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    return np.where(values[at] == asked, counts[at], 0)
+
+
 class Counts:
     """Counts of characters as they are, and of pairs and triples in lower case."""
 
@@ -98,8 +105,11 @@ class Model:
         self.two = counts.two.astype(np.float32)
         self.three = counts.three.astype(np.float32)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """The log probability of each text from its third character on; every text has at least two."""
+    def scores(self, texts: list[str], without: str | None = None) -> np.ndarray:
+        """The log probability of each text from its third character on; every text has at least two.
+
+        `without` is a text that the model was trained on and whose own pairs and triples are not to count.
+        """
         if not texts:
             return np.zeros(0)
         if self.table is None:
@@ -113,6 +123,11 @@ class Model:
         k2, k3 = self.WEIGHTS
         pair = self.two[_hash(p[:-1], p[1:], bits=PAIR_BITS)].astype(np.float64)
         triple = self.three[_hash(p[:-2], p[1:-1], p[2:], bits=TRIPLE_BITS)].astype(np.float64)
+        if without and len(without) > 2:
+            own = points(without.lower())
+            pair -= _among(_hash(p[:-1], p[1:], bits=PAIR_BITS), _hash(own[:-1], own[1:], bits=PAIR_BITS))
+            triple -= _among(_hash(p[:-2], p[1:-1], p[2:], bits=TRIPLE_BITS), _hash(own[:-2], own[1:-1], own[2:], bits=TRIPLE_BITS))
+            pair, triple = np.maximum(pair, 0), np.maximum(triple, 0)
         # A hashed count may hold other pairs too; it can't exceed the counts of its parts.
         pair = np.minimum(pair, np.minimum(one[:-1], one[1:]))
         triple = np.minimum(triple, np.minimum(pair[:-1], pair[1:]))

@@ -1,17 +1,20 @@
 """One consistent form for text that looks the same but is written with different characters.
 
-Look-alike classes are the connected groups of pairs (character or string, what it looks like): compatibility forms and
-composable sequences by the Unicode tables, letters of other scripts by `LETTERS`. Of each class the member that is
-most frequent in the corpus represents it. Rewriting replaces, from left to right and longest first, every member by
-its representative with one automaton over all of them; letters of other scripts are replaced only in words that have
-no letter without a Latin look-alike, invisible characters and odd spaces by fixed rules (below).
+Look-alike classes are the connected groups of pairs (a character or string, and what it looks like): styled forms and
+ligatures, sequences of a letter and marks that exist as one character, and letters of other scripts by `LETTERS`. So a
+full-width, a mathematical and a Cyrillic a are all in the class of the Latin one. A class is represented by the member
+whose script or style is the most frequent in the corpus, of equals by the one that is itself (the parts of a sequence
+are counted as characters, so a sequence itself never represents). Rewriting replaces, from left to right and longest
+first, every member by its representative with one automaton over all of them, which also takes out invisible characters
+and makes odd spaces plain. Letters of other scripts are replaced only in words without a letter that has no Latin
+look-alike. Marks that follow what was replaced are composed last.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -87,6 +90,20 @@ def marks() -> str:
     return "".join(sorted(c for c in out if unicodedata.combining(c)))
 
 
+@cache
+def sequences() -> dict[str, str]:
+    """Every sequence of a letter and marks that exists as one character, and that character: fully and by its last mark only."""
+    out = {}
+    for x in range(0xC0, 0x1F200):
+        c = chr(x)
+        parts = unicodedata.decomposition(c).split() if not 0xD800 <= x < 0xE000 else []
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", c) == c:
+            for s in ("".join(chr(int(h, 16)) for h in parts), unicodedata.normalize("NFD", c)):
+                if all(map(unicodedata.combining, s[1:])):
+                    out[s] = c
+    return out
+
+
 def union(pairs: list[tuple[str, str]]) -> dict[str, int]:
     """The number of each string's class: strings are in one class if pairs link them, however indirectly."""
     parent: dict[str, str] = {}
@@ -103,14 +120,14 @@ def union(pairs: list[tuple[str, str]]) -> dict[str, int]:
     return {s: numbers.setdefault(find(s), len(numbers)) for s in parent}
 
 
-def representatives(pairs: list[tuple[str, str]], frequency: dict[str, int]) -> dict[str, str]:
-    """Every string of a class with its representative: the most frequent, of equals the first in code point order."""
+def representatives(pairs: list[tuple[str, str]], frequency: Callable[[str], tuple[int, ...]]) -> dict[str, str]:
+    """Every string of a class with its representative: the one of the greatest frequency, of equals the first in code point order."""
     classes: dict[int, list[str]] = {}
     for s, k in union(pairs).items():
         classes.setdefault(k, []).append(s)
     out = {}
     for members in classes.values():
-        best = min(members, key=lambda s: (-frequency.get(s, 0), len(s), s))
+        best = min(sorted(members), key=lambda s: tuple(-n for n in frequency(s)))
         out.update({s: best for s in members})
     return out
 
@@ -124,14 +141,20 @@ class Rewriter:
     """Brings texts to one form; `frequency` counts the characters of the corpus."""
 
     def __init__(self, frequency: dict[str, int]):
-        # The scripts' members of all classes are counted together: one rare letter doesn't change its script.
+        pairs = [*LETTERS.items(), *styled().items(), *sequences().items()]
+        # Whole scripts and styles are counted: one rare letter doesn't change its script.
         totals: dict[str, int] = {}
-        for c in {*LETTERS, *LETTERS.values()}:
+        for c in {c for pair in pairs for c in pair if len(c) == 1}:
             totals[_script(c)] = totals.get(_script(c), 0) + frequency.get(c, 0)
-        letters = representatives([*LETTERS.items()], {c: totals[_script(c)] for c in {*LETTERS, *LETTERS.values()}})
-        plain = representatives([*styled().items()], frequency | {v: 1 << 60 for v in styled().values()})
-        self.letters = {c: letters.get(c, c) for c in LETTERS if letters.get(c, c) != c}
-        patterns: dict[str, str] = {c: p for c, p in plain.items() if c != p and c in styled()}
+        composed = sequences()
+
+        def how_often(s: str) -> tuple[int, ...]:
+            if s in composed:
+                return -1, -1
+            return max(totals.get(_script(c), 0) for c in s), max(frequency.get(c, 0) for c in s)
+
+        self.forms = representatives(pairs, how_often)
+        patterns = {s: to for s, to in self.forms.items() if s != to and (s in LETTERS or s in styled() or s in composed)}
         patterns.update({c: " " for c in odd_spaces()})
         patterns.update({c: "" for c in invisible()})
         self.machine = ahocorasick.Automaton()
@@ -139,7 +162,6 @@ class Rewriter:
             self.machine.add_word(s, (s, to))
         self.machine.make_automaton()
         self.composable = re.compile(f"(?s:.)[{re.escape(marks())}]+")
-        self.foreign = re.compile(f"[{''.join(self.letters)}]") if self.letters else None
         self.word = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ​-‍⁠﻿\xad])*")
 
     def _stays(self, text: str, at: int) -> bool:
@@ -155,32 +177,34 @@ class Rewriter:
         made = unicodedata.normalize("NFC", m.group())
         return made if len(made) < len(m.group()) else m.group()
 
-    def _word(self, m: re.Match) -> str:
-        word = m.group()
-        if not self.foreign.search(word):
-            return word
-        for c in word:
-            if c.isalpha() and c not in LETTERS and not _latin(c):
-                return word
-        return "".join(self.letters.get(c, c) for c in word)
+    def _lookalike(self, word: str) -> bool:
+        """Whether every letter of a word is Latin or looks like a Latin letter."""
+        return all(not c.isalpha() or _latin(c) or c in LETTERS or all(map(_latin, styled().get(c, c))) for c in word)
 
     def rewrite(self, text: str) -> str:
-        out, at = [], 0
+        out, at, fits, words = [], 0, True, None
+        word = (0, 0)
         for end, (s, to) in self.machine.iter_long(text):
             start = end - len(s) + 1
             if to == "" and self._stays(text, start):
                 continue
+            if s in LETTERS:
+                words = words or (m.span() for m in self.word.finditer(text))
+                if start >= word[1]:  # another word than the last one looked at
+                    word = next(w for w in words if w[1] > start)
+                    fits = self._lookalike(text[slice(*word)])
+                if not fits:
+                    continue
             out += [text[at:start], to]
             at = end + 1
         text = "".join([*out, text[at:]])
-        text = self.composable.sub(self._compose, text)
-        return self.word.sub(self._word, text) if self.foreign and self.foreign.search(text) else text
+        return self.composable.sub(self._compose, text)
 
 
 @cache
 def _script(c: str) -> str:
-    """The script of a letter, by its name; ties between scripts go to Latin."""
-    return unicodedata.name(c, "?").split()[0]
+    """The script or style of a letter or digit, by its name; ASCII characters are one."""
+    return "" if c.isascii() else unicodedata.name(c, "?").split()[0]
 
 
 @cache

@@ -198,8 +198,14 @@ def test_lookalikes(rows):
 
 
 def test_classes_are_transitive_and_frequent_members_represent():
-    r = lookalikes.representatives([("a", "b"), ("b", "c"), ("x", "y")], {"c": 5, "y": 1})
+    r = lookalikes.representatives([("a", "b"), ("b", "c"), ("x", "y")], lambda s: ({"c": 5, "y": 1}.get(s, 0),))
     assert r == {"a": "c", "b": "c", "c": "c", "x": "y", "y": "y"}
+    forms = lookalikes.Rewriter({"a": 9, "e": 9, "f": 1, "i": 1}).forms
+    assert {forms[c] for c in "\uff41\u0430\u03b1\U0001d41a"} == {"a"} and forms["e\u0301"] == "\xe9" and forms["\ufb01"] == "fi" and forms["a\u0302\u0301"] == forms["\xe2\u0301"] == "\u1ea5"
+    # Where a look-alike script is the usual one, its letters stay and represent the others.
+    assert lookalikes.Rewriter({"\u0430": 900, "\u0435": 900, "a": 3}).rewrite("\u0430\u0435 \u03b1") == "\u0430\u0435 \u0430"
+    r = lookalikes.Rewriter({})
+    assert r.rewrite("\uff41\u0301 \u0441\uff41f\u200b\u0435 x") == "\xe1 cafe x" and r.rewrite("\u0441 \u0437\u0435\u0440\u043d\u043e") == "c \u0437\u0435\u0440\u043d\u043e"
 
 
 # 8 and 9: tokens and containers
@@ -316,3 +322,23 @@ def test_equal_digests_of_different_texts_stay_apart(rows, monkeypatch):
     monkeypatch.setattr(duplicates, "digest", lambda *a, **k: F.substring(plain(*a, **k), 1, 0))  # all digests collide
     assert got(duplicates.same_texts(t, "id", "text")) == want
     assert got(duplicates.collapse(t, "id", ["text"]).where("id < 5")) == want[:4]
+
+
+RUSSIAN = ["Вопросы каналов и мельниц обсуждались", "журнал писал о вопросах зерна", "мельницы стоят без зерна и воды", "каналы и дороги ждут воды", "зерно для мельниц дороги не дошло", "щедрый хозяин увидел объезд, ещё цифры, чай, юг, этаж"]
+
+
+def test_single_byte_charsets_read_as_others(rows):
+    clean = [(f"c{n}", t) for n, t in enumerate(RUSSIAN * 40)] + [(f"l{n}", t) for n, t in enumerate(CLEAN * 10)]
+    bad = {f"b{k}": (t, t.encode(a).decode(b)) for k, (t, a, b) in enumerate((t, a, b) for t in RUSSIAN[:5] for a, b in (("cp1251", "cp1252"), ("koi8-r", "cp1251")))}
+    t = rows("id string, text string", *clean, *((k, x) for k, (_, x) in bad.items()), ("n", None), ("e", ""))
+    out = {r["id"]: r["restored"] for r in garbled.find_garbled(t, ["id"], "text").collect()}
+    assert not [k for k in out if k[0] in "cln"], {k: v for k, v in out.items() if k[0] in "cln"}
+    assert set(out) == set(bad)
+    long = lambda t: [w for w in t.split() if len(w) > 2]
+    assert sum(long(out[k] or "") == long(v) for k, (v, _) in bad.items()) >= 0.7 * len(bad)
+
+
+def test_characters_beyond_the_first_plane_are_restored(rows):
+    t = [(f"c{n}", f"We saw 🙂 number {n} and Ｗide ﬁne forms") for n in range(60)] + [("b", "We saw 🙂 there".encode().decode("cp1252", "replace").replace("�", "")), ("m", "﻿Order, order".encode().decode("cp1252"))]
+    out = {r["id"] for r in garbled.find_garbled(rows("id string, text string", *t), ["id"], "text").collect()}
+    assert out >= {"m"} and not [k for k in out if k[0] == "c"]
