@@ -103,6 +103,41 @@ def pair_scores(groups: DataFrame, gold: DataFrame) -> DataFrame:
     return counts.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(1.25 * p * r, 0.25 * p + r), 6).alias("f_half"))
 
 
+def carried(old: DataFrame, new: DataFrame, item: str, cluster: str) -> DataFrame:
+    """Every old cluster with the new one that has most of its items (of equals the first): `old`, `new`, `shared`, `class`.
+
+    same: both have the same items; grew: the new one has them all and more; kept: it has only of them; changed: it has
+    more than half of them, and others; far: no new cluster has. Old clusters without any item in the new grouping drop out.
+    """
+    o, n = old.select(item, F.col(cluster).alias("old")), new.select(item, F.col(cluster).alias("new"))
+    shared = o.join(n, item).groupBy("old", "new").agg(F.count("*").alias("shared"))
+    best = shared.groupBy("old").agg(F.min_by(F.struct("new", "shared"), F.struct(-F.col("shared"), "new")).alias("b")).select("old", "b.*")
+    size = lambda df, c: df.groupBy(c).agg(F.count("*").alias(f"_n_{c}"))
+    both = best.join(size(o, "old"), "old").join(size(n, "new"), "new")
+    all_old, all_new = F.col("shared") == F.col("_n_old"), F.col("shared") == F.col("_n_new")
+    kind = F.when(all_old & all_new, "same").when(all_old, "grew").when(all_new, "kept").when(2 * F.col("shared") > F.col("_n_old"), "changed").otherwise("far")
+    return both.select("old", "new", "shared", kind.alias("class"))
+
+
+def split_pairs(judged: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (`a`, `b`) judged different that are in one group (`node`, `component`): `a`, `b`, `component`."""
+    side = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    return judged.join(side("a"), "a").join(side("b"), "b").where("_a = _b").select("a", "b", F.col("_a").alias("component"))
+
+
+def weighted_scores(pairs: DataFrame, limits: list[float]) -> DataFrame:
+    """Precision and recall at each limit of `dist` from pairs with `band`, `same` and `judged`: `most`, `tp`, `fp`, `fn`, `precision`, `recall`.
+
+    Only judged pairs count, each for as many as its band has for each judged one; bands without judged pairs don't count.
+    """
+    n = pairs.groupBy("band").agg(F.try_divide(F.count("*").cast("double"), F.count_if("judged")).alias("w"))
+    rows = pairs.where("judged").join(n, "band").select("w", "dist", "same", F.explode(F.array(*map(F.lit, limits))).alias("most"))
+    near, total = F.col("dist") < F.col("most"), lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0.0))
+    sums = rows.groupBy("most").agg(total(near & F.col("same")).alias("tp"), total(near & ~F.col("same")).alias("fp"), total(~near & F.col("same")).alias("fn"))
+    r = lambda a, b: F.round(F.try_divide(F.col(a), F.col(a) + F.col(b)), 6)
+    return sums.select("most", *(F.round(c, 6).alias(c) for c in ("tp", "fp", "fn")), r("tp", "fp").alias("precision"), r("tp", "fn").alias("recall"))
+
+
 #: Rows of one block of an exact comparison.
 BLOCK_ROWS = 4_096
 #: Pairs of vectors that an exact comparison may have: a million by a million.

@@ -55,6 +55,18 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def page_of(df: DataFrame, order: Sequence[Column], page: str | None, per_page: str | None, most: int = 100) -> DataFrame:
+    """One page of `df` with its number `page`. The arguments are texts as they come: what is no number counts as 1 and `most`.
+
+    Rows a page are clamped to 1..`most`, the page to 1..the last one. Only a page's rows are sorted out, by offset and limit.
+    """
+    number = lambda t, other: int(t) if t and t.strip().lstrip("+-").isdigit() else other
+    size = min(max(number(per_page, most), 1), most)
+    last = max(1, -(-df.count() // size))
+    at = min(max(number(page, 1), 1), last)
+    return df.orderBy(*order).offset((at - 1) * size).limit(size).withColumn("page", F.lit(at).cast("bigint"))
+
+
 def latest_or_last(events: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, since: str, event_id: str, tie: str, keep: Sequence[str]) -> DataFrame:
     """Each event with the version in force at its time, or the entity's last version where the time is null.
 

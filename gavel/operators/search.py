@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions import text as tx
+from gavel.sources.staging import stage
+
+try:
+    import ahocorasick
+except ImportError:  # then dictionaries of any size are looked up by joins
+    ahocorasick = None
 
 
 def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -51,22 +58,70 @@ def ranked(df: DataFrame, score: str, most: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "id")))
 
 
-def dictionary_hits(docs: DataFrame, id_col: str, text: Column, names: DataFrame, name_col: str, most: int = 8, longest: int = 6) -> DataFrame:
-    """Names of a dictionary that occur in texts as runs of words: `id`, `name`, `tf`, `score` = tf * ln(N / df), the best `most` each.
+#: Bytes of a dictionary up to which every task gets all of it.
+MOST_DICTIONARY = 64 << 20
+
+
+def dictionary_hits(docs: DataFrame, id_col: str, text: Column, names: DataFrame, name_col: str, most: int | None = 8) -> DataFrame:
+    """Names of a dictionary that occur in texts as runs of words: `id`, `name`, `tf`, `score` = tf * ln(N / df), the best `most` each (all with null).
 
-    Every run of up to `longest` words is looked up by an equi-join, so neither side is collected. A match inside a
-    longer match at the same place doesn't count. Names of more words than `longest` are never found.
+    Names may have any number of words; both sides are compared as lower-case words, so white space and punctuation
+    between them don't matter. A match inside a longer match at the same place doesn't count. A dictionary whose size is
+    checked to be at most `MOST_DICTIONARY` bytes goes to every task as one automaton; for a larger one, only runs that
+    begin with the first word of a name, at the lengths such names have, are looked up by an equi-join.
     """
-    runs = docs.select(F.col(id_col).alias("id"), tx.once(tx.tokens(text)).alias("_t")).withColumn("_n", F.size("_t"))
-    each = f"transform(sequence(0, _n - 1), i -> transform(sequence(1, least({longest}, _n - i)), k -> struct(i as at, k as words, array_join(slice(_t, i + 1, k), ' ') as name)))"
-    spans = runs.where("_n > 0").select("id", F.explode(F.flatten(F.expr(each))).alias("r")).select("id", "r.at", "r.words", "r.name")
-    dictionary = names.select(F.array_join(tx.tokens(F.col(name_col)), " ").alias("name")).where("name <> ''").distinct()
-    found = spans.join(dictionary, "name")
-    w = Window.partitionBy("id").orderBy("at", F.desc("words")).rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("_reach", F.max(F.col("at") + F.col("words")).over(w)).where(F.col("_reach").isNull() | (F.col("at") + F.col("words") > F.col("_reach")))
-    tf = found.groupBy("id", "name").agg(F.count("*").alias("tf"))
+    dictionary = stage(names.select(tx.tokens(F.col(name_col)).alias("w")).where(F.size("w") > 0).select(F.array_join("w", " ").alias("name"), F.col("w")[0].alias("first"), F.size("w").alias("words")).distinct(), "dictionary")
+    size = dictionary.agg(F.sum(F.octet_length("name") + 16).alias("n")).first()["n"] or 0
+    rows = docs.select(F.col(id_col).alias("id"), tx.once(tx.tokens(text)).alias("_t"))
+    if ahocorasick is not None and size <= MOST_DICTIONARY:
+        found = _by_automaton(rows, [r["name"] for r in dictionary.select("name").toLocalIterator()])
+    else:
+        found = _by_first_words(rows, dictionary)
+    tf = found.groupBy("id", "name").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("name").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n"))
     scored = tf.join(df, "name").join(F.broadcast(total)).withColumn("score", F.round(F.col("tf") * F.ln(F.col("n") / F.col("df")), 6))
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "name")
-    return scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).select("id", "name", "tf", "score")
+    if most is not None:
+        scored = scored.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "name"))).where(F.col("_r") <= most)
+    return scored.select("id", "name", "tf", "score")
+
+
+def _by_automaton(rows: DataFrame, names: list[str]) -> DataFrame:
+    """`id`, `name`, `tf` in the words of each row; runs inside a longer one at the same place are left out."""
+    kind = rows.schema["id"].dataType.simpleString()
+    held = rows.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for name in held.value:
+            machine.add_word(f" {name} ", name)
+        machine.make_automaton()
+        for batch in batches:
+            at, found, times = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist() if held.value else ()):
+                reach, counts = -1, {}
+                for start, end, name in sorted((e - len(n) - 1, -e, n) for e, n in machine.iter(text)):
+                    if -end > reach:
+                        counts[name] = counts.get(name, 0) + 1
+                        reach = -end
+                at += [k] * len(counts)
+                found += counts
+                times += counts.values()
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.string()), pa.array(times, pa.int64())], ["id", "name", "tf"])
+
+    padded = F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" "))
+    return rows.select("id", padded.alias("_text")).mapInArrow(run, f"id {kind}, name string, tf bigint")
+
+
+def _by_first_words(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The same by joins: places with a first word, then the runs there. Texts travel once, and only to their places."""
+    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    lengths = dictionary.groupBy("first").agg(F.collect_set("words").alias("lengths"))
+    places = rows.select("_row", F.posexplode("_t").alias("at", "first")).join(lengths, "first").groupBy("_row").agg(F.collect_list(F.struct("at", "lengths")).alias("places"))
+    each = "flatten(transform(places, p -> transform(filter(p.lengths, k -> p.at + k <= size(_t)), k -> struct(p.at as at, k as words, array_join(slice(_t, p.at + 1, k), ' ') as name))))"
+    runs = rows.join(places, "_row").select("_row", "id", F.explode(F.expr(each)).alias("r")).select("_row", "id", "r.*")
+    found = runs.join(dictionary.select("name"), "name")
+    w = Window.partitionBy("_row").orderBy("at", F.desc("words")).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_reach", F.max(F.col("at") + F.col("words")).over(w)).where(F.col("_reach").isNull() | (F.col("at") + F.col("words") > F.col("_reach")))
+    return found.groupBy("id", "name").agg(F.count("*").alias("tf"))

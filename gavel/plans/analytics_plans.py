@@ -71,7 +71,7 @@ def tag_speeches_union_roads(spark: SparkSession, folder: str) -> DataFrame:
     return road("p_brand = 'Brand#7'", "brand").unionByName(road("p_type = 'PROMO'", "type")).groupBy("unit").agg(F.min("source").alias("source"))
 
 
-@query("TAG03 TAG08", f"WITH {B} SELECT unit, string_agg(tag, ', ' ORDER BY tag) AS tags, count(*) AS n FROM b GROUP BY unit")
+@query("TAG03", f"WITH {B} SELECT unit, string_agg(tag, ', ' ORDER BY tag) AS tags, count(*) AS n FROM b GROUP BY unit")
 def tags_of_speeches(spark: SparkSession, folder: str) -> DataFrame:
     """All tags of each unit in order, as one text."""
     return brands(spark, folder).groupBy("unit").agg(F.array_join(F.sort_array(F.collect_list("tag")), ", ").alias("tags"), F.count("*").alias("n"))
@@ -121,7 +121,7 @@ def merged_aliases(spark: SparkSession, folder: str) -> DataFrame:
     return first.groupBy(F.col("to").alias("id")).agg(F.transform(F.sort_array(F.collect_list("f")), lambda x: x["alias"]).alias("aliases"))
 
 
-@query("TAG07 GRA10", """
+@query("TAG07", """
 SELECT s.id AS subject_id, count(DISTINCT e.id) AS names, CAST(sum(e.n_speeches) AS BIGINT) AS speeches FROM (SELECT id, unnest(string_split(subject_key, ' ')) AS k FROM subjects) s JOIN entity_names e ON e.id = TRY_CAST(s.k AS BIGINT) GROUP BY 1""")
 def cluster_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Subjects with sums over the names in their keys."""
@@ -159,7 +159,7 @@ def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
     return rel.insert_absent(o, n, ["k"])
 
 
-@query("PAG02 PAG03 PAG01", """
+@query("PAG02 PAG01", """
 WITH o AS (SELECT CAST(extract(year FROM o_orderdate) AS INTEGER) AS y, o_orderstatus AS s, o_orderpriority AS p FROM orders)
 SELECT 'year' AS facet, CAST(y AS VARCHAR) AS value, count(*) AS n FROM o WHERE s = 'F' AND p = '1-URGENT' GROUP BY 2
 UNION ALL SELECT 'status', s, count(*) FROM o WHERE y = 1997 AND p = '1-URGENT' GROUP BY 2 UNION ALL SELECT 'priority', p, count(*) FROM o WHERE y = 1997 AND s = 'F' GROUP BY 2""")
@@ -356,7 +356,7 @@ def nearest_sitting_day(spark: SparkSession, folder: str) -> DataFrame:
     return d.groupBy("y").agg(F.min_by("day", F.struct("_off", "day")).alias("day"))
 
 
-@query("PAG20 PAG21 PAG26", """
+@query("PAG20", """
 SELECT d.id AS debate_id, count(t.id) AS turns, count(DISTINCT t.person_id) AS people, CAST(coalesce(sum(t.word_count) FILTER (WHERE t.role_kind IS NULL), 0) AS BIGINT) AS member_words,
   count(*) FILTER (WHERE t.role_kind = 'presiding') AS chair, CAST(len(d.member_names) AS INTEGER) AS listed, (SELECT count(*) FROM debates e WHERE e.debate_date = d.debate_date AND e.id <> d.id) AS same_day
 FROM debates d LEFT JOIN turns t ON t.debate_id = d.id GROUP BY d.id, d.member_names, d.debate_date""")
@@ -393,7 +393,7 @@ def bill_top_tags(spark: SparkSession, folder: str) -> DataFrame:
     return top.groupBy("party").agg(F.array_join(F.transform(ordered, lambda x: x["tag"]), ", ").alias("top"))
 
 
-@query("PAG24 PAG18 PAG29", """
+@query("PAG24 PAG29", """
 SELECT count(*) AS turns, count(person_id) AS named, count(*) FILTER (WHERE person_id IS NULL AND role_kind IS NULL) AS unnamed, CAST(sum(word_count) AS BIGINT) AS words, round(sum(word_count) FILTER (WHERE person_id IS NOT NULL) / CAST(sum(word_count) AS DOUBLE), 6) AS named_share,
   (SELECT count(*) FROM speech_search) AS speeches, (SELECT count(*) > 0 FROM tags WHERE status = 'reviewed') AS has_reviewed FROM turns""")
 def method_figures(spark: SparkSession, folder: str) -> DataFrame:

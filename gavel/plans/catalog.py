@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gavel.plans import analytics_plans, events_plans, page_plans, relational_plans, text_plans, vector_plans  # noqa: F401
+from gavel.plans import analytics_plans, archive_plans, events_plans, identity_plans, page_plans, relational_plans, site_plans, text_plans, vector_plans  # noqa: F401
 from gavel.plans.registry import ENTRIES, Query
 
 

@@ -22,14 +22,14 @@ def html_labels(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("id", (F.col("k") + 1).cast("bigint").alias("k"), F.regexp_extract("part", '<A name="(\\d+)\\*\\d+">', 1).alias("code"), F.trim(F.regexp_extract("part", "<b>([^<]*?)\\s*:?</b>", 1)).alias("label"), "old")
 
 
-@query("TXT26 TXT27 TXT28 SRC12 SRC13")
+@query("TXT26 TXT27 TXT28")
 def html_clean_split(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as its turns with references resolved: number, code, label and text."""
     d = load(spark, folder, "debates", "id", "raw_html")
     return arrow.rows_of_text(d, "id", "raw_html", pages.turns, {"seq": "int", "mp_code": "string", "label": "string", "text": "string"})
 
 
-@query("TXT30 TXT31")
+@query("TXT30")
 def translit_fold(spark: SparkSession, folder: str) -> DataFrame:
     """A spelling key of every label, across scripts."""
     t = load(spark, folder, "turns", "id", "speaker_label")
@@ -39,7 +39,7 @@ def translit_fold(spark: SparkSession, folder: str) -> DataFrame:
 SENTENCE = "[^.?!।\\n]+[.?!।]"
 
 
-@query("TXT23 TXT24 TXT25 TXT08", """
+@query("TXT23 TXT25", """
 WITH s AS (SELECT doc_id, generate_subscripts(l, 1) AS k, trim(unnest(l)) AS s, title FROM (SELECT doc_id, title, regexp_extract_all(text, '[^.?!।\\n]+[.?!।]') AS l FROM documents)),
 g AS (SELECT doc_id, k, s, len(regexp_extract_all(s, '\\S+')) AS w, CASE WHEN contains(lower(s), split_part(lower(coalesce(title, '~')), ' ', 1)) THEN 1 ELSE 0 END AS hit FROM s WHERE regexp_matches(s, '^[A-Z][^0-9()\\[\\]{}]*\\.$'))
 SELECT doc_id, CAST(k AS BIGINT) AS k, s AS quote, w AS words FROM g WHERE w BETWEEN 8 AND 40 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hit DESC, CASE WHEN w BETWEEN 15 AND 28 THEN 0 ELSE 1 END, abs(w - 24), k) = 1""")
@@ -81,7 +81,7 @@ def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.run_to_table(sessions.first_seen(sessions.read_events(spark, folder), ["event_id"]), "first")
 
 
-@query("SRC02 SRC17 PAG29", """
+@query("SRC17", """
 SELECT '/tag/' || trim(regexp_replace(lower(tag), '[^a-z0-9]+', '-', 'g'), '-') AS path, min(id) AS id FROM tags WHERE status = 'reviewed' GROUP BY 1""")
 def sitemap_paths(spark: SparkSession, folder: str) -> DataFrame:
     """The path of every live tag once, the smallest id of those that share one."""
@@ -90,7 +90,7 @@ def sitemap_paths(spark: SparkSession, folder: str) -> DataFrame:
     return t.groupBy(F.concat(F.lit("/tag/"), slug).alias("path")).agg(F.min("id").alias("id"))
 
 
-@query("SRC04 SRC02", """
+@query("SRC02", """
 SELECT loksabha, session, dbslno, min(id) AS first_id, count(*) AS fetched, max(fetched_at) AS last_fetch, sha256(arg_max(raw_html, (fetched_at, id))) = arg_max(raw_html_sha256, (fetched_at, id)) AS hash_fits FROM debates GROUP BY 1, 2, 3""")
 def refetched_debates(spark: SparkSession, folder: str) -> DataFrame:
     """Debates by natural key: how often fetched, and whether the latest page has the stored hash."""
@@ -104,12 +104,3 @@ def glyph_decode(spark: SparkSession, folder: str) -> DataFrame:
     """Turns typed in the old Hindi font, read back; the others unchanged (as a digest)."""
     out = arrow.each_text(load(spark, folder, "turns", "id", "text"), "id", "text", glyphs.read_glyphs, "decoded")
     return out.select("id", F.md5("decoded").alias("decoded"))
-
-
-@query("SRC14 SRC15", "SELECT count(*) AS n, count(DISTINCT id) AS ids FROM tags")
-def canonical_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Every tag as one canonical JSON text; how many there are, and how many differ."""
-    from gavel.sources.files import canonical_json
-
-    j = canonical_json(load(spark, folder, "tags"))
-    return j.agg(F.count("*").alias("n"), F.count_distinct("json").alias("ids"))

@@ -256,7 +256,7 @@ def select_head_turns(spark: SparkSession, folder: str) -> DataFrame:
     return seq.head_of(t, "debate_id", "seq", "word_count", 5, 200, 400).select("debate_id", "seq", "words_before")
 
 
-@query("SEQ05 SEQ06", """
+@query("SEQ05", """
 WITH t AS (SELECT DISTINCT ON (debate_id, seq) debate_id, seq, text FROM turns ORDER BY debate_id, seq, id),
 p AS (SELECT debate_id, seq, generate_subscripts(string_split(text, chr(10)), 1) AS part, unnest(string_split(text, chr(10))) AS text FROM t)
 SELECT debate_id, row_number() OVER (PARTITION BY debate_id ORDER BY seq, part) - 1 AS new_seq, seq AS old_seq, md5(text) AS text_hash FROM p""")

@@ -17,6 +17,18 @@ TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{M}}\\p{{N}
 T = lambda c: TOKENS.format(c)
 
 
+def hits_sql(names: str, docs: str) -> str:
+    """CTEs down to `tf` (id, name, tf) for dictionary matching: `names` selects `name`, `docs` selects `id` and `text`."""
+    return f"""nn AS (SELECT DISTINCT array_to_string({T('name')}, ' ') AS name, len({T('name')}) AS k FROM ({names}) WHERE len({T('name')}) > 0),
+dd AS (SELECT id, {T('text')} AS t FROM ({docs})), rr AS (SELECT id, i AS pos, k, array_to_string(t[i:i+k-1], ' ') AS name FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM dd), (SELECT DISTINCT k FROM nn) WHERE i + k - 1 <= len(t)),
+ff AS (SELECT rr.* FROM rr JOIN nn USING (name)), gg AS (SELECT *, max(pos + k) OVER (PARTITION BY id ORDER BY pos, k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ff),
+tf AS (SELECT id, name, count(*) AS tf FROM gg WHERE reach IS NULL OR pos + k > reach GROUP BY 1, 2)"""
+
+
+KEYWORDS = "SELECT unnest(keywords) AS name FROM debates"
+HITS = hits_sql(KEYWORDS, "SELECT doc_id AS id, text FROM documents")
+
+
 @query("TXT01 TXT04 FIL08", f"SELECT doc_id, len({T('text')}) AS n_tokens FROM documents WHERE list_has_all({T('text')}, ['granary', 'audit', 'workers'])")
 def fts_all_words(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with all of some words."""
@@ -43,7 +55,7 @@ def bm25_rank(spark: SparkSession, folder: str) -> DataFrame:
     return search.bm25(load(spark, folder, "documents", "doc_id", "text"), "doc_id", tx.tokens(F.col("text")), WORDS)
 
 
-@query("SRT05 TXT07 TXT06 PAG25", f"""
+@query("SRT05", f"""
 WITH {BM}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 50), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_date DESC NULLS LAST, doc_id) AS rank FROM documents WHERE contains(lower(title), 'ferry') QUALIFY rank <= 50),
 u AS (SELECT id, rank, 'words' AS l FROM a UNION ALL SELECT id, rank, 'title' FROM b)
 SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, CASE WHEN count(*) = 2 THEN 'both' ELSE min(l) END AS kind FROM u GROUP BY 1""")
@@ -69,7 +81,7 @@ def stem_subset_search(spark: SparkSession, folder: str) -> DataFrame:
     return t.where(F.size(F.array_except(F.array(F.lit("bridge"), F.lit("repair")), tx.stems(F.col("tag"), STOP))) == 0)
 
 
-@query("TXT11 TXT13 TXT12", f"""
+@query("TXT11", f"""
 WITH m AS (SELECT s.id, s.parent_tag_id AS parent, s.n_speeches AS n FROM subjects s WHERE list_contains({T('s.label')}, 'canal')),
 i AS (SELECT parent, count(*) AS children, CAST(sum(n) AS BIGINT) AS speeches FROM m WHERE parent IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)
 SELECT t.id, t.tag, CASE WHEN lower(t.tag) = 'canal' THEN 0 WHEN list_contains({T('t.tag')}, 'canal') THEN 1 ELSE 2 END AS place, coalesce(i.children, 0) AS children, coalesce(i.speeches, 0) AS speeches
@@ -109,7 +121,7 @@ def trigram_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("a", "b", sim.alias("s")).where("s >= 0.4").select("a", "b", F.round("s", 6).alias("similarity"))
 
 
-@query("TXT46 TXT16 TXT49", """
+@query("TXT46", """
 SELECT e.id, min(t.id) AS tag_id, count(t.id) AS n FROM (SELECT id, lower(regexp_replace(regexp_replace(regexp_replace(name, '^[\\p{P}\\p{S}\\s]+', ''), '[\\p{P}\\p{S}\\s]+$', ''), '\\s+', ' ', 'g')) AS k FROM entity_names) e
 LEFT JOIN (SELECT id, lower(regexp_replace(regexp_replace(regexp_replace(tag, '^[\\p{P}\\p{S}\\s]+', ''), '[\\p{P}\\p{S}\\s]+$', ''), '\\s+', ' ', 'g')) AS k FROM tags WHERE status <> 'rejected') t USING (k) GROUP BY 1 HAVING count(t.id) <= 1""")
 def exact_tag_map(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,15 +139,12 @@ def title_keys(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("id", tx.key_of(F.col("title"), F.year("debate_date"), F.col("loksabha")).alias("k"))
 
 
-@query("TXT17 TXT09", """
-WITH q AS (SELECT DISTINCT lower(unnest(keywords)) AS k FROM debates) SELECT d.id, count(*) AS n FROM debates d JOIN q ON contains(' ' || lower(d.title) || ' ', ' ' || q.k || ' ') GROUP BY 1
-UNION ALL SELECT -1, 0""")
+@query("TXT17", f"WITH {hits_sql(KEYWORDS, 'SELECT id, title AS text FROM debates WHERE title IS NOT NULL')} SELECT id, count(*) AS n FROM tf GROUP BY 1")
 def quote_substring_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles that contain a keyword of any debate word for word (looked up by runs of words), and a marker row."""
+    """How many keywords of any debate each title contains word for word."""
     d = load(spark, folder, "debates", "id", "title").where("title is not null")
     q = load(spark, folder, "debates", "keywords").select(F.explode("keywords").alias("k")).distinct()
-    n = search.dictionary_hits(d, "id", F.col("title"), q, "k", most=1000, longest=12).groupBy("id").agg(F.count("*").alias("n"))
-    return n.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("n")))
+    return search.dictionary_hits(d, "id", F.col("title"), q, "k", most=None).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("TXT18", """
@@ -146,7 +155,7 @@ def year_near_name(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("id", F.regexp_extract("text", "in ((?:19|20)\\d\\d)-\\d\\d", 1).alias("year"))
 
 
-@query("TXT21 TXT22 TXT50", """
+@query("TXT21 TXT22", """
 SELECT id, regexp_replace(trim(regexp_replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '\\s*\\(Laid\\)$', '') AS tidy,
 CASE WHEN debate_type IS NULL THEN NULL ELSE upper(left(trim(debate_type), 1)) || lower(substr(trim(debate_type), 2)) END AS kind FROM debates""")
 def tidy_titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,14 +178,16 @@ def dictionary_build(spark: SparkSession, folder: str) -> DataFrame:
     return out.where((F.col("speeches") >= 3) & (F.col("_most") >= 0.8 * F.col("speeches"))).drop("_most")
 
 
-@query("TXT45 DEC18")
+@query("TXT45", f"""
+WITH {HITS}, df AS (SELECT name, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT id, name, tf, round(tf * ln((SELECT count(*) FROM documents) / CAST(df AS DOUBLE)), 6) AS score FROM tf JOIN df USING (name))
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, name) <= 8""")
 def dictionary_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """The eight best keywords in each document, scored by tf * ln(N / df), longest match first."""
     names = load(spark, folder, "debates", "keywords").select(F.explode("keywords").alias("name")).distinct()
     return search.dictionary_hits(load(spark, folder, "documents", "doc_id", "text"), "doc_id", F.col("text"), names, "name")
 
 
-@query("TXT33 TXT31", """
+@query("TXT33", """
 WITH r AS (SELECT DISTINCT person_id, lower(trim(name)) AS name FROM speakers WHERE name IS NOT NULL), one AS (SELECT k, min(person_id) AS p FROM (SELECT DISTINCT name AS k, person_id FROM r) GROUP BY 1 HAVING count(*) = 1),
 sorted AS (SELECT k, min(person_id) AS p FROM (SELECT DISTINCT array_to_string(list_sort(string_split_regex(name, '[ _,.]+')), ' ') AS k, person_id FROM r) GROUP BY 1 HAVING count(*) = 1),
 sur AS (SELECT k, min(person_id) AS p FROM (SELECT DISTINCT split_part(name, ' ', -1) AS k, person_id FROM r) GROUP BY 1 HAVING count(*) = 1),
@@ -199,7 +210,7 @@ def tiered_resolver(spark: SparkSession, folder: str) -> DataFrame:
     return keyed.select("label", F.coalesce("exact", "sorted", "surname").alias("person_id"), tier.alias("tier"))
 
 
-@query("TXT34 TXT38 TXT41", """
+@query("TXT34", """
 SELECT id, CASE WHEN speaker_label IS NULL OR NOT regexp_matches(speaker_label, '\\p{L}') THEN 'none' WHEN regexp_matches(speaker_label, '(?i)(^|[^\\p{L}])members?([^\\p{L}]|$)|सदस्य') THEN 'crowd' WHEN regexp_matches(regexp_replace(speaker_label, '\\s[–-]\\s*speaker\\s*$', ''), '(?i)(^|[^\\p{L}])(chairman|chairperson|chair|speaker)([^\\p{L}]|$)|सभापति|अध्यक्ष') THEN 'chair'
   WHEN regexp_matches(speaker_label, '(?i)(^|[^\\p{L}])minister of ') THEN 'office' ELSE 'name' END AS kind FROM turns""")
 def label_kinds(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,7 +245,7 @@ def unnamed_label_rollup(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("turns"), F.sum("word_count").alias("words"), F.min("debate_date").alias("first_day"), F.max("debate_date").alias("last_day"), F.md5(F.max_by("text", F.struct("word_count", "id"))).alias("excerpt"))
 
 
-@query("TXT43 TXT39 TXT32", """
+@query("TXT43", """
 WITH a AS (SELECT DISTINCT person_id, lok_sabha_term AS term, split_part(lower(trim(name)), ' ', -1) AS sur, split_part(lower(trim(name)), ' ', 1) AS first FROM speakers WHERE name IS NOT NULL),
 b AS (SELECT DISTINCT d.loksabha AS term, lower(regexp_replace(trim(n), '^(Shri|Shrimati|Dr\\.|Prof\\.|Adv\\.) ', '')) AS name FROM (SELECT loksabha, unnest(member_names) AS n FROM debates) d),
 c AS (SELECT term, name, split_part(name, ' ', -1) AS sur, split_part(name, ' ', 1) AS first FROM b),
@@ -255,7 +266,7 @@ def name_matching(spark: SparkSession, folder: str) -> DataFrame:
     return s.where("k = 1 and ties = 1 and d <= 2").select("term", "name", "person_id", "d")
 
 
-@query("TXT54 TXT52 TXT53 TXT55 TXT56", """
+@query("TXT54", """
 WITH n AS (SELECT type, lower(trim(split_part(name, ',', 1))) AS bare, count(*) AS n FROM entity_names GROUP BY 1, 2), k AS (SELECT bare, count(DISTINCT type) AS types FROM n GROUP BY 1)
 SELECT n.bare, n.type, CASE WHEN types > 1 THEN n.bare || ' (' || n.type || ')' ELSE n.bare END AS name, n.n FROM n JOIN k USING (bare)""")
 def shared_name_qualify(spark: SparkSession, folder: str) -> DataFrame:

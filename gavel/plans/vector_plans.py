@@ -26,7 +26,7 @@ D = "list_cosine_distance(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 DIST = D.format("x.v", "y.v")
 
 
-@query("VEC01 VEC05 VEC08", f"""
+@query("VEC01 VEC05", f"""
 WITH {U} SELECT e.id, t.tag_id, round({D.format('e.embedding_query', 't.v')}, 5) AS dist FROM (SELECT id, embedding_query FROM entity_names WHERE embedding_query IS NOT NULL AND len(list_filter(embedding_query, lambda x: isnan(x))) = 0 AND len(list_filter(embedding_query, lambda x: x <> 0)) > 0 AND id % 50 = 0) e, t
 QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY dist, t.tag_id) <= 5""")
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +37,7 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     return graph.nearest(left, right, 5).select((-F.col("a")).alias("id"), F.col("b").cast("int").alias("tag_id"), "dist")
 
 
-@query("VEC02 VEC10 JOI10", f"""
+@query("VEC02 JOI10", f"""
 WITH {U}, f AS (SELECT x.tag_id AS a, y.tag_id AS b, {DIST} AS dist FROM t x JOIN t y ON x.tag_id <> y.tag_id JOIN tags g ON g.id = y.tag_id WHERE x.tag_id % 50 = 0 AND g.status = 'reviewed' AND g.type <> 'bill')
 SELECT a, b, round(dist, 5) AS dist FROM f WHERE dist <= 0.42 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(dist, 5), b) <= 3""")
 def filtered_nearest(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +81,7 @@ def component_guard(spark: SparkSession, folder: str) -> DataFrame:
     return graph.guarded_groups(knn_mutual_edges(spark, folder), 4, 0.2, 0.04, 0.04)
 
 
-@query("GRA09 DEC17 GRA11", f"""
+@query("GRA09", f"""
 WITH RECURSIVE {KNN}, e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY 1),
 gold AS (SELECT k.a, k.b, x.domain IS NOT DISTINCT FROM y.domain AS same FROM k JOIN tags x ON x.id = k.a JOIN tags y ON y.id = k.b WHERE k.a < k.b),
 j AS (SELECT coalesce(p.component = q.component, false) AS t, same FROM gold LEFT JOIN c p ON p.node = gold.a LEFT JOIN c q ON q.node = gold.b),
@@ -107,7 +107,7 @@ def centroid_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("a", "b", F.round(vec.distance(F.col("va"), F.col("vb")), 4).alias("dist"))
 
 
-@query("VEC06 DEC10", """
+@query("VEC06", """
 SELECT tag_id, model, task_type, input_hash IS DISTINCT FROM md5(t.tag) AS changed FROM tag_embeddings e JOIN tags t ON t.id = e.tag_id""")
 def change_detection(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors whose input text is no longer the tag's (hashes compared null-safely)."""
@@ -115,13 +115,13 @@ def change_detection(spark: SparkSession, folder: str) -> DataFrame:
     return e.join(t, "tag_id").select("tag_id", "model", "task_type", (~F.col("input_hash").eqNullSafe(F.md5("tag"))).alias("changed"))
 
 
-@query("VEC07 DEC11", f"WITH {KNN} SELECT CAST(floor(dist / 0.05) AS BIGINT) AS band, count(*) AS n, min(dist) AS nearest, max(dist) AS furthest FROM k GROUP BY 1")
+@query("VEC07", f"WITH {KNN} SELECT CAST(floor(dist / 0.05) AS BIGINT) AS band, count(*) AS n, min(dist) AS nearest, max(dist) AS furthest FROM k GROUP BY 1")
 def distance_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbour pairs by bands of distance."""
     return _near(spark, folder).groupBy(F.floor(F.col("dist") / 0.05).alias("band")).agg(F.count("*").alias("n"), F.min("dist").alias("nearest"), F.max("dist").alias("furthest"))
 
 
-@query("VEC09 DEC12", f"""
+@query("VEC09", f"""
 WITH {KNN}, a AS (SELECT k.a, row_number() OVER (PARTITION BY k.a ORDER BY k.dist, k.b) AS place, y.type = x.type AS good FROM k JOIN tags x ON x.id = k.a JOIN tags y ON y.id = k.b)
 SELECT coalesce(CAST(min(place) FILTER (WHERE good) AS BIGINT), 0) AS best_place, a FROM a GROUP BY a""")
 def rank_of_best(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,7 +168,7 @@ def split_vote(spark: SparkSession, folder: str) -> DataFrame:
     return _options(spark, folder).select("user_id", "day", dec.split_vote(F.col("options")).alias("split"))
 
 
-@query("DEC07 DEC08", """
+@query("DEC07", """
 WITH d AS (SELECT tag_id, max(input_hash) AS h, count(*) AS v FROM tag_embeddings WHERE model = 'vec-archive-2' GROUP BY 1)
 SELECT t.id, CASE WHEN d.h IS NULL THEN 'todo' WHEN d.h <> md5(t.tag) OR d.v < 2 THEN 'stale' ELSE 'done' END AS state FROM tags t LEFT JOIN d ON d.tag_id = t.id""")
 def staleness_plan(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,7 +178,7 @@ def staleness_plan(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("id", dec.state_of(F.col("h"), F.md5("tag"), F.col("v"), F.lit(2)).alias("state"))
 
 
-@query("DEC09 SRC04 SRC05", """
+@query("DEC09", """
 SELECT event_id, list_filter(['user', 'value', 'props', 'kind'], lambda x: (x = 'user' AND NOT user_id > 3) OR (x = 'value' AND NOT value >= 1) OR (x = 'props' AND NOT coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) < 90, false)) OR (x = 'kind' AND event_type = 'error')) AS failed FROM events""")
 def answer_checks(spark: SparkSession, folder: str) -> DataFrame:
     """The checks that each stored answer fails, read from its JSON where needed."""
@@ -187,7 +187,7 @@ def answer_checks(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "events").select("event_id", dec.failed_checks(checks).alias("failed"))
 
 
-@query("DEC06 DEC14 DEC16", """
+@query("DEC06 DEC14", """
 WITH c AS (SELECT e.id, t.id AS tag_id, 0 AS pri FROM entity_names e JOIN tags t ON t.id = e.tag_id UNION ALL SELECT e.id, s.parent_tag_id, 1 FROM entity_names e JOIN subjects s ON s.subject_key = CAST(e.id AS VARCHAR) WHERE s.parent_tag_id IS NOT NULL),
 u AS (SELECT id, tag_id, min(pri) AS pri FROM c GROUP BY 1, 2) SELECT id, tag_id, pri, row_number() OVER (PARTITION BY id ORDER BY pri, tag_id) AS position FROM u QUALIFY position <= 21""")
 def answer_reuse_priority(spark: SparkSession, folder: str) -> DataFrame:

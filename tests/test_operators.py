@@ -152,15 +152,19 @@ def test_text_columns(rows):
     assert t.select(tx.plain(F.lit("A​ “b” – c"))).first()[0] == 'a "b" - c'
 
 
-def test_search(rows):
+def test_search(rows, monkeypatch):
     d = rows("id int, t string", (1, "red red canal"), (2, "canal"), (3, ""), (4, None))
     assert [r["id"] for r in search.bm25(d, "id", tx.tokens(F.col("t")), ["red", "canal"]).orderBy(F.desc("score")).collect()] == [1, 2]
     assert search.bm25(d.limit(0), "id", tx.tokens(F.col("t")), ["red"]).count() == 0
     a, b = rows("id int, rank int", (1, 1), (2, 2)), rows("id int, rank int", (2, 1))
     assert [r["id"] for r in search.fuse([a, b]).orderBy(F.desc("score")).collect()] == [2, 1]
-    names = rows("n string", ("red canal",), ("canal",), ("Red",), (None,), ("",))
-    found = search.dictionary_hits(rows("id int, t string", (1, "the red canal"), (2, "canal red"), (3, None)), "id", F.col("t"), names, "n")
-    assert got(found.select("id", "name", "tf")) == [(1, "red canal", 1), (2, "canal", 1), (2, "red", 1)]
+    long = " ".join(["red canal"] + [f"w{k}" for k in range(9)])
+    names = rows("n string", (long.upper(),), ("red canal",), ("canal",), ("Red",), (None,), ("",))
+    for most in (search.MOST_DICTIONARY, -1):
+        monkeypatch.setattr(search, "MOST_DICTIONARY", most)
+        found = search.dictionary_hits(rows("id int, t string", (1, f"the {long}"), (2, "canal red"), (3, None), (4, "")), "id", F.col("t"), names, "n")
+        assert got(found.select("id", "name", "tf")) == [(1, long, 1), (2, "canal", 1), (2, "red", 1)]
+        assert search.dictionary_hits(rows("id int, t string", (1, "x")), "id", F.col("t"), names.limit(0), "n").count() == 0
 
 
 def test_components_of_chains_and_hubs(rows):
