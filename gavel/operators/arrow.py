@@ -29,10 +29,10 @@ def rows_of_text(df: DataFrame, id_col: str, text_col: str, function: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(zip(*function(text), strict=True))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows[0]), _ARROW[kind]), *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], [id_col, *columns])
+            made = [function(text) for text in b.column(1).to_pylist()]
+            ids = b.column(0).take(pa.array([k for k, rows in enumerate(made) for _ in rows], pa.int64()))
+            rows = list(zip(*(row for rows in made for row in rows), strict=True)) or [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], [id_col, *columns])
 
     shape = ", ".join(f"`{c}` {t}" for c, t in columns.items())
     return df.select(id_col, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, {shape}")

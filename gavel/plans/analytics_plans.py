@@ -9,6 +9,7 @@ from gavel.operators import aggregates as agg
 from gavel.operators import graph
 from gavel.operators import relational as rel
 from gavel.plans.registry import query
+from gavel.sources.staging import stage
 from gavel.sources.tables import load
 
 
@@ -39,7 +40,7 @@ l AS (SELECT p.a, p.b, p.shared, round(CAST(na.n AS DOUBLE) * nb.n / t, 6) AS ex
 SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY a ORDER BY lift DESC, shared DESC, b) <= 10""")
 def tag_related_lift(spark: SparkSession, folder: str) -> DataFrame:
     """Related tags: pairs shared more often than chance, the ten with the highest lift for each."""
-    b = brands(spark, folder)
+    b = stage(brands(spark, folder), "facts")  # read four times
     n = b.groupBy("tag").agg(F.count("*").alias("n"))
     total = b.select("unit").distinct().agg(F.count("*").alias("t"))
     pairs = agg.co_occurrence(b, "unit", "tag").where("shared >= 8").join(F.broadcast(total))
@@ -199,7 +200,7 @@ SELECT m.member, m.tag, m.n, round((m.n / CAST(m.t AS DOUBLE)) / (a.n / CAST(a.t
 QUALIFY row_number() OVER (PARTITION BY m.member ORDER BY lift DESC, m.n DESC, m.tag) <= 3""")
 def member_typical_lift(spark: SparkSession, folder: str) -> DataFrame:
     """What is typical of a member: the three tags with the highest lift of those on three units or more."""
-    s = sales(spark, folder)
+    s = stage(sales(spark, folder).select("member", "tag"), "facts")
     m = agg.shares(s.groupBy("member", "tag").agg(F.count("*").alias("n")), ["member"], ["member"], name="own").select("member", "tag", "n", F.sum("n").over(Window.partitionBy("member")).alias("t"))
     a = s.groupBy("tag").agg(F.count("*").alias("n_all"))
     total = a.agg(F.sum("n_all").alias("t_all"))
@@ -224,7 +225,7 @@ WITH {S}, p AS (SELECT party, tag, count(*) AS n, count(DISTINCT member) AS memb
 SELECT party, tag, n, members, round(n - units * base, 6) AS extra FROM p JOIN u USING (party) JOIN r USING (tag) WHERE members >= 5""")
 def party_extra_speeches(spark: SparkSession, folder: str) -> DataFrame:
     """Units of a group on a tag beyond what its size and the tag's base rate let expect."""
-    s = sales(spark, folder)
+    s = stage(sales(spark, folder).select("party", "tag", "member", "unit"), "facts")
     p = s.groupBy("party", "tag").agg(F.count("*").alias("n"), F.count_distinct("member").alias("members"))
     units = s.select("party", "unit").distinct()
     u, all_ = units.groupBy("party").agg(F.count("*").alias("units")), s.select("unit").distinct().agg(F.count("*").alias("all_units"))

@@ -33,7 +33,8 @@ def html_clean_split(spark: SparkSession, folder: str) -> DataFrame:
 def translit_fold(spark: SparkSession, folder: str) -> DataFrame:
     """A spelling key of every label, across scripts."""
     t = load(spark, folder, "turns", "id", "speaker_label")
-    return arrow.each_text(t, "id", "speaker_label", lambda s: None if s is None else pages.folded(s), "folded")
+    labels = t.where("speaker_label is not null").select("speaker_label", F.col("speaker_label").alias("t")).distinct()
+    return t.join(arrow.each_text(labels, "speaker_label", "t", pages.folded, "folded"), "speaker_label", "left").select("id", "folded")
 
 
 SENTENCE = "[^.?!।\\n]+[.?!।]"
@@ -63,22 +64,26 @@ def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n", "value")
 
 
-@query("WIN09")
+@query("WIN09", """
+WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, round(sum(value), 2) AS value FROM b GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY""")
 def stream_user_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """The same blocks from the events as a stream, those that the watermark has closed."""
-    return sessions.run_to_table(sessions.user_sessions(sessions.read_events(spark, folder)), "sessions")
+    s = sessions.run_to_table(sessions.user_sessions(sessions.read_events(spark, folder)), "sessions")
+    return s.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query("AGG01")
+@query("AGG01", """
+SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 2 HOUR""")
 def stream_windowed_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly counts by kind from the events as a stream, for windows that the watermark has closed."""
-    return sessions.run_to_table(sessions.windowed_counts(sessions.read_events(spark, folder)), "windows")
+    return sessions.run_to_table(sessions.windowed_counts(sessions.read_events(spark, folder)), "windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SRC08")
+@query("SRC08", "SELECT DISTINCT ON (event_id) event_id, ts, user_id, event_type, value, props FROM events ORDER BY event_id")
 def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     """Each event once from a stream that may repeat them."""
-    return sessions.run_to_table(sessions.first_seen(sessions.read_events(spark, folder), ["event_id"]), "first")
+    return sessions.run_to_table(sessions.first_seen(sessions.read_events(spark, folder), ["event_id"]), "first").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("SRC17", """
@@ -99,8 +104,8 @@ def refetched_debates(spark: SparkSession, folder: str) -> DataFrame:
     return d.groupBy("loksabha", "session", "dbslno").agg(F.min("id").alias("first_id"), F.count("*").alias("fetched"), F.max("fetched_at").alias("last_fetch"), F.max_by("fits", F.struct("fetched_at", "id")).alias("hash_fits"))
 
 
-@query("TXT29")
+@query("TXT29", "SELECT id, md5(text) AS decoded FROM turns")
 def glyph_decode(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns typed in the old Hindi font, read back; the others unchanged (as a digest)."""
+    """Turns typed in the old Hindi font, read back; the others unchanged (as a digest). The SQL holds for tables without such turns."""
     out = arrow.each_text(load(spark, folder, "turns", "id", "text"), "id", "text", glyphs.read_glyphs, "decoded")
     return out.select("id", F.md5("decoded").alias("decoded"))

@@ -362,8 +362,8 @@ def session_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("TXT49", """
-WITH p AS (SELECT id, lower(regexp_extract(description, '^([^:,]*)', 1)) AS label, trim(regexp_extract(description, ',\s*([^:,]*)', 1)) AS area FROM tags WHERE type = 'place'), u AS (SELECT list_last(string_split(label, ' ')) AS k, min(id) AS tag_id FROM p GROUP BY 1 HAVING count(*) = 1),
-s AS (SELECT DISTINCT lower(trim(regexp_replace(constituency, '\s*\(.*\)\s*$', ''))) AS seat FROM speakers WHERE constituency IS NOT NULL)
+WITH p AS (SELECT id, lower(regexp_extract(description, '^([^:,]*)', 1)) AS label, trim(regexp_extract(description, ',\\s*([^:,]*)', 1)) AS area FROM tags WHERE type = 'place'), u AS (SELECT list_last(string_split(label, ' ')) AS k, min(id) AS tag_id FROM p GROUP BY 1 HAVING count(*) = 1),
+s AS (SELECT DISTINCT lower(trim(regexp_replace(constituency, '\\s*\\(.*\\)\\s*$', ''))) AS seat FROM speakers WHERE constituency IS NOT NULL)
 SELECT s.seat, u.tag_id, p.label, p.area FROM s LEFT JOIN u ON u.k = s.seat LEFT JOIN p ON p.id = u.tag_id""")
 def seat_tags(spark: SparkSession, folder: str) -> DataFrame:
     """Each seat with the only place tag whose label, read from its description, ends in its name; none where several do."""
@@ -375,7 +375,7 @@ def seat_tags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("TXT50", """
-WITH l AS (SELECT d.id AS debate_id, string_split(trim(regexp_replace(lower(n), '^(shri|shrimati|dr|prof|adv)\.? ', '')), ' ') AS w FROM (SELECT id, unnest(member_names) AS n FROM debates) d),
+WITH l AS (SELECT d.id AS debate_id, string_split(trim(regexp_replace(lower(n), '^(shri|shrimati|dr|prof|adv)\\.? ', '')), ' ') AS w FROM (SELECT id, unnest(member_names) AS n FROM debates) d),
 s AS (SELECT DISTINCT t.debate_id, t.person_id, string_split(lower(trim(s.name)), ' ') AS w FROM turns t JOIN speakers s ON s.person_id = t.person_id WHERE t.person_id IS NOT NULL AND s.name IS NOT NULL)
 SELECT s.debate_id, s.person_id, bool_or(l.w IS NOT NULL AND (list_has_all(s.w, l.w) OR list_has_all(l.w, s.w))) AS listed FROM s LEFT JOIN l ON l.debate_id = s.debate_id AND list_last(l.w) = list_last(s.w) GROUP BY 1, 2""")
 def listed_speakers(spark: SparkSession, folder: str) -> DataFrame:
@@ -406,7 +406,7 @@ def missing_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("TXT52", """
-WITH a AS (SELECT DISTINCT state_id, upper(trim(regexp_replace(constituency, '\s*\(.*\)\s*$', ''))) AS place FROM speakers WHERE constituency IS NOT NULL AND state_id IS NOT NULL AND lok_sabha_term <= 15), b AS (SELECT DISTINCT state_id, upper(trim(regexp_replace(constituency, '\s*\(.*\)\s*$', ''))) AS place FROM speakers WHERE constituency IS NOT NULL AND state_id IS NOT NULL AND lok_sabha_term > 15)
+WITH a AS (SELECT DISTINCT state_id, upper(trim(regexp_replace(constituency, '\\s*\\(.*\\)\\s*$', ''))) AS place FROM speakers WHERE constituency IS NOT NULL AND state_id IS NOT NULL AND lok_sabha_term <= 15), b AS (SELECT DISTINCT state_id, upper(trim(regexp_replace(constituency, '\\s*\\(.*\\)\\s*$', ''))) AS place FROM speakers WHERE constituency IS NOT NULL AND state_id IS NOT NULL AND lok_sabha_term > 15)
 SELECT coalesce(a.state_id, b.state_id) AS state_id, coalesce(a.place, b.place) AS place, CASE WHEN b.place IS NULL THEN 'old seat' WHEN a.place IS NULL THEN 'new seat' ELSE 'both' END AS kind FROM a FULL JOIN b ON a.state_id = b.state_id AND a.place = b.place""")
 def place_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Places of two lists (the seats of older and newer terms) by state and name: in both, or only in one."""

@@ -11,6 +11,7 @@ from gavel.operators import graph
 from gavel.operators import relational as rel
 from gavel.plans.analytics_plans import ENDS
 from gavel.plans.registry import query
+from gavel.sources.staging import stage
 from gavel.sources.tables import load
 
 
@@ -75,7 +76,19 @@ def components(spark: SparkSession, folder: str) -> DataFrame:
     return graph.components(knn_mutual_edges(spark, folder))
 
 
-@query("GRA03 GRA04")
+def _guard_sql(largest: int, start: float, step: float, floor: float) -> str:
+    parts, out, limit, k = [f"{KNN}, n0 AS (SELECT a AS node FROM m UNION SELECT b FROM m)"], [], start, 0
+    while True:
+        last = limit - step < floor - 1e-9
+        parts.append(f"""u{k} AS (SELECT a, b FROM m JOIN n{k} p ON p.node = a JOIN n{k} q ON q.node = b WHERE dist < CAST({limit!r} AS DOUBLE) UNION SELECT b, a FROM m JOIN n{k} p ON p.node = a JOIN n{k} q ON q.node = b WHERE dist < CAST({limit!r} AS DOUBLE)),
+r{k}(a, b) AS (SELECT node, node FROM n{k} UNION SELECT r.a, u.b FROM r{k} r JOIN u{k} u ON u.a = r.b), c{k} AS (SELECT a AS node, min(b) AS component FROM r{k} GROUP BY 1), z{k} AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM c{k}), n{k + 1} AS (SELECT node FROM z{k} WHERE n > {largest})""")
+        out.append(f"SELECT node, component FROM z{k}" + ("" if last else f" WHERE n <= {largest}"))
+        if last:
+            return f"WITH RECURSIVE {', '.join(parts)} {' UNION ALL '.join(out)}"
+        limit, k = limit - step, k + 1
+
+
+@query("GRA03", _guard_sql(4, 0.2, 0.04, 0.04))
 def component_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of tags, those of more than four split again at smaller distances."""
     return graph.guarded_groups(knn_mutual_edges(spark, folder), 4, 0.2, 0.04, 0.04)
@@ -234,12 +247,12 @@ def chain_in_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("GRA04")
 def constrained_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Tags joined along mutual links, nearest first, to groups of at most ten debates' worth that share no rejected tag."""
+    """Tags joined along mutual links, nearest first, to groups of at most forty debates' worth that share no rejected tag."""
     t = load(spark, folder, "tags", "id", "debate_count", "status")
-    sizes = t.select(F.col("id").alias("unit"), F.lit(1).alias("size"))
-    edges = knn_mutual_edges(spark, folder)
+    sizes = t.select(F.col("id").alias("unit"), F.coalesce("debate_count", F.lit(0)).alias("size"))
+    edges = stage(knn_mutual_edges(spark, folder), "edges")
     apart = edges.join(t.where("status = 'rejected'").select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
-    return graph.constrained(edges, sizes, 10, apart)
+    return graph.constrained(edges, sizes, 40, apart)
 
 
 @query("GRA08")
@@ -249,8 +262,11 @@ def packed_groups(spark: SparkSession, folder: str) -> DataFrame:
     return graph.packed(t, "type", "domain", "members", 350)
 
 
-@query("AGG21")
+@query("AGG21", """
+SELECT loksabha, count(DISTINCT person_id) AS people, true AS people_near, true AS median_near FROM turns JOIN debates d ON d.id = debate_id GROUP BY 1""")
 def sketches(spark: SparkSession, folder: str) -> DataFrame:
-    """Approximate distinct counts and quantiles per term."""
+    """Per term whether an approximate distinct count is within a tenth of the exact one, and an approximate median within a hundredth of ranks."""
     t = load(spark, folder, "turns", "debate_id", "word_count", "person_id").join(load(spark, folder, "debates", "id", "loksabha").withColumnRenamed("id", "debate_id"), "debate_id")
-    return t.groupBy("loksabha").agg(F.approx_count_distinct("person_id", 0.02).alias("people"), F.percentile_approx("word_count", 0.5, 1000).alias("median_words"))
+    near = F.percentile_approx("word_count", 0.5, 1000).between(F.floor(F.percentile("word_count", 0.49)), F.ceil(F.percentile("word_count", 0.51)))
+    g = t.groupBy("loksabha").agg(F.count_distinct("person_id").alias("people"), F.approx_count_distinct("person_id", 0.02).alias("about"), near.alias("median_near"))
+    return g.select("loksabha", "people", (F.abs(F.col("about") - F.col("people")) <= 0.1 * F.col("people")).alias("people_near"), "median_near")
