@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -47,3 +48,9 @@ def test_sounds_are_learnt_from_how_they_stand(rows):
     assert set(found) <= {"ehm", "em", "amm", "emm"} and found, found
     assert fillers.learnt(rows("text string", ("only words",), (None,))) == () == fillers.learnt(rows("text string"))
     assert not speakers.says(pa.array(["hum... huum"]), ("hum",))[0] and speakers.clean("So, huum, we go", ("hum",)) == "So, we go"
+
+
+def test_cleaning_many_texts_is_cleaning_each(spark):
+    texts = ["uhh [12:30] So, um, (Interruptions) we -- go", "um um um, er, no", "", None, "10:20 --> 10:30 Yes*coughs*!", "ఉ um\u00a0we", "अं, हम्म हम जाएँ ।", ", , a , b"]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/turns.parquet").select("text").collect()] if Path("/root/testdata/sf0.001").exists() else []
+    assert speakers.cleaned(pa.array(texts, pa.string())).to_pylist() == [speakers.clean(t) if t else "" for t in texts]
