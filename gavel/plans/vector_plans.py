@@ -265,8 +265,9 @@ def packed_groups(spark: SparkSession, folder: str) -> DataFrame:
 @query("AGG21", """
 SELECT loksabha, count(DISTINCT person_id) AS people, true AS people_near, true AS median_near FROM turns JOIN debates d ON d.id = debate_id GROUP BY 1""")
 def sketches(spark: SparkSession, folder: str) -> DataFrame:
-    """Per term whether an approximate distinct count is within a tenth of the exact one, and an approximate median within a hundredth of ranks."""
+    """Per term whether an approximate distinct count is within a tenth of the exact one, and an approximate median within half a hundredth of all ranks."""
     t = load(spark, folder, "turns", "debate_id", "word_count", "person_id").join(load(spark, folder, "debates", "id", "loksabha").withColumnRenamed("id", "debate_id"), "debate_id")
-    near = F.percentile_approx("word_count", 0.5, 1000).between(F.floor(F.percentile("word_count", 0.49)), F.ceil(F.percentile("word_count", 0.51)))
+    exact = lambda q: F.expr(f"percentile_disc({q}) within group (order by word_count)")
+    near = F.percentile_approx("word_count", 0.5, 1000).between(exact(0.495), exact(0.505))
     g = t.groupBy("loksabha").agg(F.count_distinct("person_id").alias("people"), F.approx_count_distinct("person_id", 0.02).alias("about"), near.alias("median_near"))
     return g.select("loksabha", "people", (F.abs(F.col("about") - F.col("people")) <= 0.1 * F.col("people")).alias("people_near"), "median_near")
