@@ -102,7 +102,7 @@ def collapse(records: DataFrame, id_col: str, columns: list[str], unordered: Col
     """
     struct = T.StructType([records.schema[c] for c in columns])
     value = F.struct(*columns)
-    rows = records.select(F.col(id_col).alias("_id"), digest(value, struct, unordered).alias("_root"), canonical(value, struct, unordered).alias("_form"))
+    rows = records.select(F.col(id_col).alias("_id"), F.unhex(digest(value, struct, unordered)).alias("_root"), canonical(value, struct, unordered).alias("_form"))
     rows = confirmed(stage(rows, "forms"), "_root", "_form").select("_id", "_root")
     return grouped(rows, 1).withColumnRenamed("_id", id_col)
 
@@ -118,7 +118,7 @@ def confirmed(rows: DataFrame, key: str, form: str) -> DataFrame:
     if wrong.isEmpty():
         return rows
     marked = rows.join(wrong, key, "left")
-    return marked.withColumn(key, F.when(F.col("_wrong"), F.concat(F.lit("="), F.col(form))).otherwise(F.col(key))).drop("_wrong")
+    return marked.withColumn(key, F.when(F.col("_wrong"), F.encode(F.concat(F.lit("="), F.col(form)), "utf-8")).otherwise(F.col(key))).drop("_wrong")
 
 
 def grouped(rows: DataFrame, least: int) -> DataFrame:
@@ -148,9 +148,9 @@ def same_texts(df: DataFrame, id_col: str, text_col: str, least_words: int = 25)
     node = T.ArrayType(T.StringType())
     rows = rows.select(
         "_id",
-        digest(F.col("_letters"), T.StringType(), ready=True).alias("_flat"),
+        F.unhex(digest(F.col("_letters"), T.StringType(), ready=True)).alias("_flat"),
         "_letters",
-        F.when(F.col("_fields").isNotNull(), digest(F.col("_fields"), node, [""], ready=True)).alias("_set"),
+        F.when(F.col("_fields").isNotNull(), F.unhex(digest(F.col("_fields"), node, [""], ready=True))).alias("_set"),
         F.array_join("_fields", "\n").alias("_form"),
     )
     # The normal forms are made once; what follows reads columns of them.
