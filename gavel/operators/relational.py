@@ -141,13 +141,13 @@ def only_nearest(a: DataFrame, b: DataFrame, key: str, at: str, width: int = 64)
     """
     count = lambda df, side: df.where(F.col(at).isNotNull()).groupBy(key, at).agg(F.count("*").alias(f"_n_{side}"), F.min("id").alias(f"_{side}"))
     places = count(a, "a").join(count(b, "b"), [key, at], "full").where(F.col(key).isNotNull())
-    places = places.withColumn("_down", -F.col(at))
+    places = stage(places.withColumn("_down", -F.col(at)), "places")
     for side in ("a", "b"):
         here = F.when(F.col(f"_n_{side}").isNotNull(), F.struct(F.col(at).alias("at"), F.col(f"_n_{side}").alias("n"), F.col(f"_{side}").alias("id")))
         places = places.withColumn("_here", here)
         for order, name in ((at, "below"), ("_down", "above")):
             places = filled(places, key, order, "_here", f"_{side}_{name}", width)
-    places = stage(places.drop("_here", "_down"), "places")
+        places = stage(places.drop("_here"), "places")
 
     def best(side: str, other: str) -> DataFrame:
         low, high = F.col(f"_{other}_below"), F.col(f"_{other}_above")

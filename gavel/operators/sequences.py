@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.sources.staging import stage
+
 
 def islands(df: DataFrame, keys: Sequence[str], at: str, gap: int, name: str = "block") -> DataFrame:
     """`df` with the number of each row's block: days more than `gap` days apart start a new one. Null days drop out."""
@@ -97,7 +99,8 @@ def stitch(turns: DataFrame, group: str = "debate_id", order: str = "seq", bridg
     rows = turns.select(
         group, order, F.coalesce("word_count", F.lit(0)).alias("_words"), "person_id", F.when(F.col("role_kind").isNull(), F.col("person_id")).alias("_person"),
         (F.col("role_kind").isNull() & F.col("person_id").isNull() & (F.coalesce("word_count", F.lit(0)) > bridge_words)).cast("int").alias("_alone"))
-    rows = running_sum(rows, group, order, "_alone", "_section", width)
+    # Each step reads its rows twice (blocks and rows), so what it reads is written first.
+    rows = stage(running_sum(stage(rows, "stitch"), group, order, "_alone", "_section", width), "stitch")
     unnamed = rows.where("_alone = 1").select(
         group, "person_id", F.col(order).alias("seq_start"), F.col(order).alias("seq_end"),
         F.lit(1).cast("bigint").alias("turn_count"), F.lit(0).cast("bigint").alias("interruption_count"), F.col("_words").cast("bigint").alias("word_count"))
@@ -105,11 +108,11 @@ def stitch(turns: DataFrame, group: str = "debate_id", order: str = "seq", bridg
     first = rows.where("_person is not null").groupBy(group, "_section").agg(F.min(order).alias("_first"))
     rows = rows.join(first, [group, "_section"])
     takes = F.col("_person").isNotNull() & ((F.col(order) == F.col("_first")) | (F.col("_words") > bridge_words))
-    rows = filled(rows.withColumn("_mark", F.when(takes, F.struct("_section", "_person"))), group, order, "_mark", "_at", width)
+    rows = filled(stage(rows, "stitch").withColumn("_mark", F.when(takes, F.struct("_section", "_person"))), group, order, "_mark", "_at", width)
     rows = rows.where(F.col("_at._section") == F.col("_section")).select(group, order, "_section", "_words", F.col("_at._person").alias("_owner"), F.coalesce(F.col("_person") == F.col("_at._person"), F.lit(False)).alias("_own"))
-    rows = with_previous(rows, group, order, ["_section", "_owner"], width)
+    rows = stage(with_previous(stage(rows, "stitch"), group, order, ["_section", "_owner"], width), "stitch")
     new = F.col("prev__section").isNull() | (F.col("prev__section") != F.col("_section")) | (F.col("prev__owner") != F.col("_owner"))
-    rows = running_sum(rows.withColumn("_new", new.cast("int")), group, order, "_new", "_speech", width)
+    rows = stage(running_sum(rows.withColumn("_new", new.cast("int")), group, order, "_new", "_speech", width), "stitch")
     own = rows.where("_own").groupBy(group, "_speech").agg(
         F.max("_owner").alias("person_id"), F.min(order).alias("seq_start"), F.max(order).alias("seq_end"), F.count("*").alias("turn_count"), F.sum("_words").cast("bigint").alias("word_count"))
     inside = rows.where("not _own").join(own.select(group, "_speech", "seq_end"), [group, "_speech"]).where(F.col(order) < F.col("seq_end")).groupBy(group, "_speech").agg(F.count("*").alias("interruption_count"))

@@ -9,6 +9,7 @@ from gavel.operators import aggregates as agg
 from gavel.operators import relational as rel
 from gavel.operators import sequences as seq
 from gavel.plans.registry import query
+from gavel.sources.staging import stage
 from gavel.sources.tables import load
 
 KINDS = {"question": ["QUESTION", "STARRED QUESTION"], "bill": ["BILL"], "urgent": ["ZERO HOUR", "SPECIAL MENTION"]}
@@ -331,7 +332,7 @@ WITH {SPEECHES} SELECT debate_id, seq_start, person_id, row_number() OVER (PARTI
   rank() OVER (PARTITION BY debate_id ORDER BY word_count DESC) AS by_length FROM speeches""")
 def position_in_debate(spark: SparkSession, folder: str) -> DataFrame:
     """Each speech's place in its debate, the debate's size, and its rank by length (running counts instead of subqueries)."""
-    s = speeches(spark, folder).select("debate_id", "seq_start", "person_id", "word_count", F.lit(1).cast("bigint").alias("one"))
+    s = stage(speeches(spark, folder).select("debate_id", "seq_start", "person_id", "word_count", F.lit(1).cast("bigint").alias("one")), "speeches")
     lengths = s.groupBy("debate_id", "word_count").agg(F.count("*").alias("n")).withColumn("down", -F.col("word_count"))
     lengths = seq.running_sum(lengths, "debate_id", "down", "n", "upto").select("debate_id", "word_count", (F.col("upto") - F.col("n") + 1).alias("by_length"))
     total = s.groupBy("debate_id").agg(F.count("*").alias("in_debate"))
