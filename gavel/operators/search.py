@@ -115,13 +115,33 @@ def _by_automaton(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _by_first_words(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The same by joins: places with a first word, then the runs there. Texts travel once, and only to their places."""
+    """The same by joins."""
+    found = _runs(rows, dictionary)
+    w = Window.partitionBy("_row").orderBy("at", F.desc("words")).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_reach", F.max(F.col("at") + F.col("words")).over(w)).where(F.col("_reach").isNull() | (F.col("at") + F.col("words") > F.col("_reach")))
+    return found.groupBy("id", "name").agg(F.count("*").alias("tf"))
+
+
+def _runs(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Every run of words (`_row`, `id`, `at`, `words`, `name`) that is a name: places with a first word, then the runs there. Texts travel once, and only to their places."""
     rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
     lengths = dictionary.groupBy("first").agg(F.collect_set("words").alias("lengths"))
     places = rows.select("_row", F.posexplode("_t").alias("at", "first")).join(lengths, "first").groupBy("_row").agg(F.collect_list(F.struct("at", "lengths")).alias("places"))
     each = "flatten(transform(places, p -> transform(filter(p.lengths, k -> p.at + k <= size(_t)), k -> struct(p.at as at, k as words, array_join(slice(_t, p.at + 1, k), ' ') as name))))"
     runs = rows.join(places, "_row").select("_row", "id", F.explode(F.expr(each)).alias("r")).select("_row", "id", "r.*")
-    found = runs.join(dictionary.select("name"), "name")
-    w = Window.partitionBy("_row").orderBy("at", F.desc("words")).rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("_reach", F.max(F.col("at") + F.col("words")).over(w)).where(F.col("_reach").isNull() | (F.col("at") + F.col("words") > F.col("_reach")))
-    return found.groupBy("id", "name").agg(F.count("*").alias("tf"))
+    return runs.join(dictionary.select("name"), "name")
+
+
+def named_runs(docs: DataFrame, id_col: str, text: Column, names: DataFrame) -> DataFrame:
+    """Names in texts from left to right, the longest at each place and none inside another: `id`, `at` (the word, from 1), `name`, `kind`.
+
+    names: `name`, `kind`; a name with several kinds has the first in order. Repeated ids are texts of their own.
+    """
+    one = names.select(tx.tokens(F.col("name")).alias("w"), "kind").where(F.size("w") > 0).groupBy(F.array_join("w", " ").alias("name"), F.col("w")[0].alias("first"), F.size("w").alias("words")).agg(F.min("kind").alias("kind"))
+    one = stage(one, "names")
+    runs = _runs(docs.select(F.col(id_col).alias("id"), tx.once(tx.tokens(text)).alias("_t")), one.select("name", "first", "words"))
+    packed = runs.groupBy("_row", "id").agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("words")).alias("less"), "name"))).alias("m"))
+    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<at:int,name:string>>").alias("kept"))
+    step = lambda s, m: F.when(m["at"] >= s["upto"], F.struct((m["at"] - m["less"]).alias("upto"), F.array_append(s["kept"], F.struct(m["at"].alias("at"), m["name"].alias("name"))).alias("kept"))).otherwise(s)
+    kept = packed.select("id", F.explode(F.aggregate("m", start, step)["kept"]).alias("k")).select("id", (F.col("k.at") + 1).alias("at"), "k.name")
+    return kept.join(one.select("name", "kind"), "name").select("id", "at", "name", "kind")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gavel.functions import spans
 from gavel.functions import text as tx
 from gavel.functions import vectors as vec
-from gavel.operators import arrow, graph
+from gavel.operators import arrow, graph, search
 from gavel.operators import relational as rel
 from gavel.operators import sequences as seq
 from gavel.plans.analytics_plans import S, sales
@@ -160,6 +160,21 @@ def suggested_tags(spark: SparkSession, folder: str) -> DataFrame:
     return rel.top_per_group(meaning.join(words, ["id", "tag_id"], "left_anti").join(used, "tag_id", "left_semi"), ["id"], [F.col("dist"), F.col("tag_id")], 5).select("id", "tag_id", "dist")
 
 
+@query("TXT12", f"""
+WITH RECURSIVE seats AS (SELECT array_to_string({T("trim(regexp_replace(constituency, '[(].*$', ''))")}, ' ') AS name, count(DISTINCT state_id) AS c FROM speakers WHERE constituency IS NOT NULL GROUP BY 1), kw AS (SELECT DISTINCT array_to_string({T('k')}, ' ') AS name FROM (SELECT unnest(keywords) AS k FROM debates)),
+n AS (SELECT name, 'place' AS kind, len(string_split(name, ' ')) AS k FROM seats WHERE c = 1 AND name <> '' UNION ALL SELECT name, 'tag', len(string_split(name, ' ')) FROM kw WHERE name <> '' AND name NOT IN (SELECT name FROM seats)),
+d AS (SELECT id, {T('title')} AS t FROM debates), c AS (SELECT id, t, unnest(range(1, len(t) + 1)) AS pos FROM d), l AS (SELECT id, pos, max(n.k) AS k FROM c, (SELECT DISTINCT k FROM n) s JOIN n ON n.k = s.k WHERE n.name = array_to_string(t[pos:pos + n.k - 1], ' ') GROUP BY 1, 2),
+r(id, pos) AS (SELECT id, CAST(1 AS BIGINT) FROM d WHERE len(t) > 0 UNION ALL SELECT r.id, r.pos + coalesce(l.k, 1) FROM r JOIN d ON d.id = r.id LEFT JOIN l ON l.id = r.id AND l.pos = r.pos WHERE r.pos + coalesce(l.k, 1) <= len(d.t))
+SELECT r.id, CAST(r.pos AS INTEGER) AS "at", n.name, n.kind FROM r JOIN l ON l.id = r.id AND l.pos = r.pos JOIN d ON d.id = r.id JOIN n ON n.name = array_to_string(d.t[r.pos:r.pos + l.k - 1], ' ')""")
+def named_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The places and tags that titles name, longest runs of words first; a place beats a tag, and one of several states is dropped."""
+    s = load(spark, folder, "speakers", "constituency", "state_id").where("constituency is not null").select(F.array_join(tx.tokens(F.regexp_replace("constituency", "[(].*$", "")), " ").alias("name"), "state_id")
+    seats = s.groupBy("name").agg(F.count_distinct("state_id").alias("c")).where("name <> ''")
+    tags = load(spark, folder, "debates", "keywords").select(F.explode("keywords").alias("k")).select(F.array_join(tx.tokens(F.col("k")), " ").alias("name")).distinct().join(seats, "name", "left_anti")
+    names = seats.where("c = 1").select("name", F.lit("place").alias("kind")).unionByName(tags.select("name", F.lit("tag").alias("kind")))
+    return search.named_runs(load(spark, folder, "debates", "id", "title"), "id", F.col("title"), names)
+
+
 # Sequences
 
 

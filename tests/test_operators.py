@@ -107,10 +107,11 @@ def test_stitch_against_the_rules(rows, seed):
     turns = {d: [(n, random.choice([None, 1, 1, 2, 3]), random.choice([None, None, None, "crowd"]), random.choice([5, 25, 26, 80])) for n in range(40)] for d in range(20)}
     turns = {d: [(n, None if r else p, r, w) for n, p, r, w in t] for d, t in turns.items()}
     df = rows("debate_id int, seq int, person_id int, role_kind string, word_count int", *((d, n, p, r, w) for d, t in turns.items() for n, p, r, w in t))
-    by = {}
-    for r in seq.stitch(df).collect():
-        by.setdefault(r["debate_id"], []).append((r["person_id"], r["seq_start"], r["seq_end"], r["turn_count"], r["interruption_count"], r["word_count"]))
-    assert {d: sorted(v, key=repr) for d, v in by.items()} == {d: s for d, t in turns.items() if (s := stitched(t))}
+    for width in (seq.BLOCK, 3):
+        by = {}
+        for r in seq.stitch(df, width=width).collect():
+            by.setdefault(r["debate_id"], []).append((r["person_id"], r["seq_start"], r["seq_end"], r["turn_count"], r["interruption_count"], r["word_count"]))
+        assert {d: sorted(v, key=repr) for d, v in by.items()} == {d: s for d, t in turns.items() if (s := stitched(t))}
 
 
 def test_islands_runs_and_months(rows):
@@ -167,6 +168,14 @@ def test_search(rows, monkeypatch):
         assert search.dictionary_hits(rows("id int, t string", (1, "x")), "id", F.col("t"), names.limit(0), "n").count() == 0
 
 
+def test_named_runs_are_the_longest_from_left_to_right(rows):
+    known = {("new",): "a", ("new", "delhi"): "b", ("delhi", "road", "fund"): "c", ("road",): "d"}
+    texts = {1: "New Delhi road fund", 2: "the delhi, ROAD fund new", 3: "", 4: None, 5: "road road"}
+    names = rows("name string, kind string", *((" ".join(w), k) for w, k in known.items()), ("road", "z"), (None, "x"))
+    want = sorted(((n, at + 1, " ".join((t or "").lower().replace(",", "").split()[at:end]), v) for n, t in texts.items() for at, end, v in spans.longest_runs((t or "").lower().replace(",", "").split(), known)), key=repr)
+    assert got(search.named_runs(rows("id int, t string", *texts.items()), "id", F.col("t"), names)) == want
+
+
 def test_components_of_chains_and_hubs(rows):
     e = [(n, n + 1) for n in range(30)] + [(100, n) for n in range(101, 140)] + [(7, 7), (500, 500), (None, 3)]
     out = {r["node"]: r["component"] for r in graph.components(rows("a int, b int", *e)).collect()}
