@@ -26,6 +26,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -169,7 +170,7 @@ def residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         core = core_of(text)
                         if core and _signal.search(core):
                             skeleton = re.sub(r"\d+", "9", re.sub(r"/\S+", "/", core)).lower()
-                            opening = " ".join(re.findall(r"\w+", skeleton[:400])[:OPENING_WORDS])
+                            opening = " ".join(m.group() for m in islice(re.finditer(r"\w+", skeleton), OPENING_WORDS))
                             out.append((number, "page", opening, _digest(skeleton), bool(_OPENING.match(core)), _digest(text), None))
                 columns = list(zip(*out, strict=True)) or [[] for _ in types]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], fields)
