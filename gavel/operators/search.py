@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions import text as tx
+from gavel.operators.relational import spread_lookup
 from gavel.sources.staging import stage
 
 try:
@@ -145,3 +148,83 @@ def named_runs(docs: DataFrame, id_col: str, text: Column, names: DataFrame) ->
     step = lambda s, m: F.when(m["at"] >= s["upto"], F.struct((m["at"] - m["less"]).alias("upto"), F.array_append(s["kept"], F.struct(m["at"].alias("at"), m["name"].alias("name"))).alias("kept"))).otherwise(s)
     kept = packed.select("id", F.explode(F.aggregate("m", start, step)["kept"]).alias("k")).select("id", (F.col("k.at") + 1).alias("at"), "k.name")
     return kept.join(one.select("name", "kind"), "name").select("id", "at", "name", "kind")
+
+
+#: Names that are multiplied with as many others at a time, and trigrams in a step of it.
+NAMES, GRAMS = 2_048, 2_048
+
+
+def _grams(words: str) -> set[str]:
+    """What `tx.trigrams` gives of a text whose words are these, with blanks between."""
+    return {f"  {w} "[k : k + 3] for w in words.split() for k in range(len(w) + 1)}
+
+
+def _placed(names: list[set[str]], places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every trigram of the names that has a place, in the order of columns."""
+    at = np.array([(k, places[g]) for k, own in enumerate(names) for g in own if g in places], np.int64).reshape(-1, 2)
+    at = at[np.argsort(at[:, 1], kind="stable")]
+    return at[:, 0], at[:, 1]
+
+
+def _shared(left: list[set[str]], right: list[set[str]]) -> np.ndarray:
+    """How many trigrams each left name shares with each right one."""
+    places = {g: k for k, g in enumerate(sorted(set().union(*left) & set().union(*right)))}
+    sides = [(len(names), *_placed(names, places)) for names in (left, right)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(places), GRAMS):
+        width, parts = min(GRAMS, len(places) - start), []
+        for n, row, column in sides:
+            some = slice(*np.searchsorted(column, (start, start + width)))
+            part = np.zeros((n, width), np.float32)
+            part[row[some], column[some] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _pairs_of_blocks(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        own = pc.equal(table["_mine"], table["_i"])
+        same = table["_i"][0].as_py() == table["_j"][0].as_py()
+        sides = [(t["id"].to_numpy(), [_grams(w) for w in t["words"].to_pylist()]) for t in ((table,) if same else (table.filter(own), table.filter(pc.invert(own))))]
+        (ids, names), (other_ids, others) = sides[0], sides[-1]
+        sizes, other_sizes = np.array([len(g) for g in names]), np.array([len(g) for g in others])
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for p in range(0, len(names), NAMES):
+            for q in range(p if same else 0, len(others), NAMES):
+                shared = _shared(names[p : p + NAMES], others[q : q + NAMES])
+                both = sizes[p : p + NAMES, None].astype(np.float32) + other_sizes[None, q : q + NAMES].astype(np.float32)
+                near = shared * (1 + least) >= least * both - 0.01  # those at the limit are told below
+                x, y = np.nonzero(np.triu(near, 1) if same and p == q else near)
+                n = shared[x, y].astype(np.float64)
+                with np.errstate(invalid="ignore"):
+                    s = n / (sizes[p + x] + other_sizes[q + y] - n)
+                a, b = ids[p + x], other_ids[q + y]
+                fit = ((s >= least) | np.isnan(s)) & (a != b)
+                found.append((np.minimum(a, b)[fit], np.maximum(a, b)[fit], s[fit]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "similarity"])
+
+    return run
+
+
+def similar_names(names: DataFrame, keys: Sequence[str], id_col: str, name: Column, least: float) -> DataFrame:
+    """Pairs of rows with equal `keys` whose names' trigrams are alike by `least` or more: `a`, `b` (the smaller id first), `similarity`.
+
+    Every pair of rows is compared, exactly: trigrams are shared by nearly all names of an archive, so blocks by trigram hold
+    all pairs many times. Rows of equal keys are dealt into blocks of about `NAMES`, and each pair of blocks is one product
+    of 0-1 matrices in one group. What travels is each row once for every block of its keys, not the pairs. Rows with a null
+    key or id take no part, those with equal ids are no pair, and names without any word are alike with similarity NaN.
+    """
+    keys = list(keys)
+    kind = names.schema[id_col].dataType.simpleString()
+    rows = names.select(*keys, F.col(id_col).cast("bigint").alias("id"), F.array_join(tx.tokens(name), " ").alias("words")).dropna(subset=[*keys, "id"]).withColumn("_key", F.struct(*keys))
+    sizes = rows.groupBy("_key").agg(F.count("*").alias("_n"))
+    dealt = spread_lookup(rows, sizes, "_key", "_n").withColumn("_of", F.ceil(F.col("_n") / NAMES).cast("int"))
+    dealt = dealt.withColumn("_mine", F.pmod(F.xxhash64("id", "words"), F.col("_of")).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    block = [*keys, "_i", "_j"]
+    dealt = dealt.select(*keys, F.least("_mine", "_with").alias("_i"), F.greatest("_mine", "_with").alias("_j"), "_mine", "id", "words")
+    # By work, not bytes: adaptive execution would put the small blocks together in few tasks.
+    spark = names.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    pairs = dealt.repartition(tasks, *block).groupBy(*block).applyInArrow(_pairs_of_blocks(least), "a bigint, b bigint, similarity double")
+    return pairs.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "similarity")

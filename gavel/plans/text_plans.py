@@ -106,19 +106,9 @@ WITH p AS (SELECT id, type, domain, tag, {G('tag')} AS g FROM tags WHERE domain
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE), 6) AS similarity FROM p a JOIN p b ON a.domain = b.domain AND a.type = b.type AND a.id < b.id
 WHERE len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE) >= 0.4""")
 def trigram_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of tags of one kind and domain with similar names.
-
-    Candidates are pairs that share one of the trigrams a similarity of 0.4 must share: with the trigrams of a name
-    ordered, and n of them, two names that similar share one among the first n - ceil(0.4 n) + 1 of each (prefix
-    filter), so blocks are small however many names a domain has.
-    """
-    t = load(spark, folder, "tags", "id", "type", "domain", "tag").where("domain is not null").withColumn("g", F.sort_array(tx.trigrams(F.col("tag"))))
-    prefix = F.slice("g", F.lit(1), F.size("g") - F.ceil(F.size("g") * 0.4).cast("int") + 1)
-    p = t.withColumn("k", F.explode(prefix))
-    a, b = p.select("type", "domain", "k", F.col("id").alias("a"), F.col("g").alias("ga")), p.select("type", "domain", "k", F.col("id").alias("b"), F.col("g").alias("gb"))
-    pairs = a.join(b, ["type", "domain", "k"]).where("a < b").select("a", "b", "ga", "gb").dropDuplicates(["a", "b"])
-    sim = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb")).cast("double")
-    return pairs.select("a", "b", sim.alias("s")).where("s >= 0.4").select("a", "b", F.round("s", 6).alias("similarity"))
+    """Pairs of tags of one kind and domain with similar names; names without any word are similar by NaN, as in SQL."""
+    t = load(spark, folder, "tags", "id", "type", "domain", "tag")
+    return search.similar_names(t, ["type", "domain"], "id", F.col("tag"), 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("TXT46", """
