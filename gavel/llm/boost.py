@@ -31,14 +31,16 @@ class Boosted:
     def _leaf(self, g: np.ndarray, h: np.ndarray) -> float:
         return float(-self.rate * g.sum() / (h.sum() + self.ridge))
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+    def fit(self, x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> Boosted:
+        """Learns the classes `y` of the rows `x`; each row counts as often as `times` says."""
         x = np.minimum(x, BINS - 1).astype(np.int64)
-        rate = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+        times = np.ones(len(y)) if times is None else times.astype(np.float64)
+        rate = np.clip((times * y).sum() / times.sum() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         self.base, self.trees = float(np.log(rate / (1 - rate))), []
         score = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            g, h = p - y, p * (1 - p)
+            g, h = times * (p - y), times * p * (1 - p)
             root = self._split(x, g, h)
             if root is None:
                 break

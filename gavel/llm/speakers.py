@@ -7,8 +7,9 @@
    and matched with the members listed for the debate by surname and given names or initials; all labels of the chair
    are one speaker, all labels of unnamed members or groups another.
 3. *Boundaries*: whether a new turn begins between two rows that follow one another is decided by gradient-boosted
-   trees over labels, gaps and context, trained on a seeded sample of bounded size of the pairs whose speakers are
-   known, beside a hundred pairs of the plain rule (an equal speaker goes on), which decide where nothing is known.
+   trees over labels, gaps and context, trained on all pairs whose speakers are known, beside a hundred pairs of the
+   plain rule (an equal speaker goes on), which decide where nothing is known. Pairs that are described alike are
+   counted before, so the training is bounded by the features' values.
 
 Rows are ordered inside blocks of `BLOCK` sequence numbers; what a block needs of earlier ones (its last speaker, the
 number of turns so far) is added from one row per block, so a debate with a third of all rows is many tasks' work.
@@ -35,9 +36,7 @@ from gavel.operators.relational import spread_lookup
 from gavel.sources.staging import stage
 
 BLOCK = 2_048
-#: Labelled pairs of rows that the boundary decision is trained on.
-TRAIN_PAIRS = 20_000
-#: Pairs of the plain rule that are always learnt from beside them.
+#: Pairs of the plain rule that are always learnt from beside the labelled ones.
 RULE_PAIRS = 100
 
 #: Token classes (fixed patterns): brackets of any kind, sounds in asterisks or dashes, times without brackets.
@@ -291,7 +290,17 @@ def _numbered(rows: DataFrame, flag: str) -> DataFrame:
     return out.withColumn("turn", F.col("_n") + F.col("_before")).drop("_n", "_before")
 
 
-def _placed(turns: DataFrame, rosters: DataFrame, train_pairs: int, more: tuple[str, ...]) -> DataFrame:
+def fitted(pairs: DataFrame) -> Boosted:
+    """The boundary decision, learnt from all of `pairs` (`FEATURES`, `new`) whose `new` is known and from those of the plain rule."""
+    seen = pairs.where("new is not null").groupBy(*FEATURES, "new").agg(F.count("*").alias("times")).toArrow().sort_by([(c, "ascending") for c in (*FEATURES, "new")])
+    # Nulls of a feature are zeros, as they are when it is judged.
+    x = np.stack([pc.fill_null(seen[f], 0).to_numpy() for f in FEATURES], axis=1).astype(np.int64)
+    rule = np.zeros((RULE_PAIRS, len(FEATURES)), np.int64)
+    rule[::2, 0] = 1
+    return Boosted().fit(np.concatenate([rule, x]), np.concatenate([1 - rule[:, 0], seen["new"].to_numpy()]), np.concatenate([np.ones(RULE_PAIRS), seen["times"].to_numpy()]))
+
+
+def _placed(turns: DataFrame, rosters: DataFrame, more: tuple[str, ...]) -> DataFrame:
     """The rows that stay (`debate_id`, `seq`, `who`) with the `turn` of their debate that they belong to; see `clean_turns`."""
     known = F.when(F.col("person_id").isNotNull(), F.concat(F.lit("p"), F.col("person_id"))).when(F.col("role_kind").isNotNull(), F.col("role_kind"))
     narrow = _rows(
@@ -327,12 +336,7 @@ def _placed(turns: DataFrame, rosters: DataFrame, train_pairs: int, more: tuple[
     }
     new = F.when(F.col("truth").isNotNull() & F.col("prev_truth").isNotNull(), (F.col("truth") != F.col("prev_truth")).cast("int"))
     pairs = stage(pairs.select("debate_id", "seq", "block", "who", "prev_seq", new.alias("new"), *(c.alias(n) for n, c in columns.items())), "pairs")
-    labelled = pairs.where("new is not null").select(*FEATURES, "new", F.xxhash64("debate_id", "seq").alias("_h"))
-    sample = labelled.orderBy("_h").limit(train_pairs).drop("_h").toArrow()
-    x = np.stack([sample[f].to_numpy() for f in FEATURES], axis=1) if len(sample) else np.zeros((0, len(FEATURES)), np.int64)
-    rule = np.zeros((RULE_PAIRS, len(FEATURES)), np.int64)
-    rule[::2, 0] = 1
-    model = Boosted().fit(np.concatenate([rule, x]), np.concatenate([1 - rule[:, 0], sample["new"].to_numpy()]))
+    model = fitted(pairs)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,7 +349,7 @@ def _placed(turns: DataFrame, rosters: DataFrame, train_pairs: int, more: tuple[
     return _numbered(stage(decided, "decided"), "new").select("debate_id", "seq", "who", "turn")
 
 
-def clean_turns(turns: DataFrame, rosters: DataFrame, train_pairs: int = TRAIN_PAIRS) -> DataFrame:
+def clean_turns(turns: DataFrame, rosters: DataFrame) -> DataFrame:
     """The clean turns: `debate_id`, `seq_start`, `seq_end`, `speaker`, `n_rows`.
 
     turns: `id`, `debate_id`, `seq`, `speaker_label`, `text` and, for training, `person_id` and `role_kind` (both may be
@@ -354,7 +358,7 @@ def clean_turns(turns: DataFrame, rosters: DataFrame, train_pairs: int = TRAIN_P
     `speaker` is null for rows at the start of a debate that nothing names; they form one turn. A debate without a
     list, or with one that is no JSON, has its labels compared by their names alone.
     """
-    return _summed(_placed(turns, rosters, train_pairs, learnt(turns.select("text")))).drop("turn")
+    return _summed(_placed(turns, rosters, learnt(turns.select("text")))).drop("turn")
 
 
 def _summed(rows: DataFrame, *more) -> DataFrame:
@@ -371,7 +375,7 @@ def _cleaned(more: tuple[str, ...]):
     return run
 
 
-def turn_texts(turns: DataFrame, rosters: DataFrame, train_pairs: int = TRAIN_PAIRS) -> DataFrame:
+def turn_texts(turns: DataFrame, rosters: DataFrame) -> DataFrame:
     """`clean_turns` with `text`: what `clean` leaves of the rows of each turn, in seq order, with blanks between.
 
     Characters stay as they are written. Of rows with equal debate, seq and id, one with clean words is taken.
@@ -381,6 +385,6 @@ def turn_texts(turns: DataFrame, rosters: DataFrame, train_pairs: int = TRAIN_PA
     more = learnt(turns.select("text"))
     said = said.mapInArrow(_cleaned(more), "debate_id bigint, seq int, `order` bigint, text string")
     once = said.groupBy("debate_id", "seq").agg(F.min_by("text", F.struct("order", F.col("text") == "", F.xxhash64("text"))).alias("text"))
-    rows = _placed(turns, rosters, train_pairs, more).join(once, ["debate_id", "seq"], "left")
+    rows = _placed(turns, rosters, more).join(once, ["debate_id", "seq"], "left")
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda r: r["text"])
     return _summed(rows, F.array_join(F.filter(in_order, lambda t: t != ""), " ").alias("text")).drop("turn")
