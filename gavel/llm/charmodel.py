@@ -133,9 +133,10 @@ class Model:
         triple = np.minimum(triple, np.minimum(pair[:-1], pair[1:]))
         p2 = (pair + k2 * p1[1:]) / (one[:-1] + k2)
         p3 = (triple + k3 * p2[1:]) / (pair[:-1] + k3)
-        sums = np.concatenate([[0.0, 0.0, 0.0], np.cumsum(np.log(p3))])
+        # By text, so that a score doesn't depend on the texts before; one of two characters has none.
         starts = np.concatenate([[0], ends[:-1]])
-        return sums[ends] - sums[np.minimum(starts + 2, ends)]
+        sums = np.add.reduceat(np.concatenate([np.log(p3), [0.0]]), np.stack([starts, ends - 2], 1).ravel())[::2]
+        return np.where(ends - starts > 2, sums, 0.0)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
